@@ -1,7 +1,9 @@
-"""Helper for derived columns that several later steps read."""
+"""Helpers for values that several later steps read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -15,3 +17,8 @@ def derive(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """
     packed = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     return df.select(*keep, F.inline(F.array(packed)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often `body` mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from postlake.functions.compose import let
+
 SNIFFED_CHARS = 20
 # Leading bytes in hex, then the format they mean. WEBP has its mark
 # after an eight-byte header.
@@ -13,14 +15,17 @@ DEFAULT_FORMAT = "png"
 
 def image_data(image: Column) -> Column:
     """The base64 payload without a data-URL prefix."""
-    return F.element_at(F.split(image, ","), -1)
+    return F.substring_index(image, ",", -1)
 
 
 def _sniffed(image: Column) -> Column:
     head = F.substring(image_data(image), 1, SNIFFED_CHARS)
-    leading = F.hex(F.try_to_binary(head, F.lit("base64")))
-    found = [F.when(leading.rlike(mark), F.lit(name)) for mark, name in MAGIC]
-    return F.coalesce(*found, F.lit(DEFAULT_FORMAT))
+
+    def named(leading: Column) -> Column:
+        found = [F.when(leading.rlike(mark), F.lit(name)) for mark, name in MAGIC]
+        return F.coalesce(*found, F.lit(DEFAULT_FORMAT))
+
+    return let(F.hex(F.try_to_binary(head, F.lit("base64"))), named)
 
 
 def _declared(image: Column) -> Column:
@@ -29,7 +34,7 @@ def _declared(image: Column) -> Column:
 
 def image_mime(image: Column) -> Column:
     """CH7: MIME type; a data-URL prefix wins over the content."""
-    declared = F.element_at(F.split(F.substring_index(image, ";", 1), ":"), -1)
+    declared = F.substring_index(F.substring_index(image, ";", 1), ":", -1)
     return F.when(_declared(image), declared).otherwise(
         F.concat(F.lit("image/"), _sniffed(image))
     )
@@ -37,7 +42,7 @@ def image_mime(image: Column) -> Column:
 
 def image_extension(image: Column) -> Column:
     """CH7: the same as a bare format name."""
-    declared = F.element_at(F.split(F.substring_index(image, ";", 1), "/"), -1)
+    declared = F.substring_index(F.substring_index(image, ";", 1), "/", -1)
     return F.when(_declared(image), declared).otherwise(_sniffed(image))
 
 

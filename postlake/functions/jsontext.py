@@ -11,8 +11,8 @@ from pyspark.sql import Column, functions as F
 def as_json(value: Any) -> Column:
     """A Python value as a JSON literal; a string column as a JSON string."""
     if isinstance(value, Column):
-        listed = F.to_json(F.array(value))
-        return F.when(value.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+        # A one-element array without its brackets; a string keeps its quotes.
+        return F.when(value.isNotNull(), F.btrim(F.to_json(F.array(value)), F.lit("[]")))
     return F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 

@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
+from postlake.functions.compose import let
 from postlake.lists import COUNTRY_NAMES, US_STATE_NAMES
 
 STRICT_JSON = {"allowSingleQuotes": "false"}
@@ -25,10 +26,14 @@ def first_country(codes: Column) -> Column:
     brackets before parsing makes trailing text after the array an error.
     """
     wrapped = F.from_json(F.concat(F.lit("["), codes, F.lit("]")), "array<string>", STRICT_JSON)
-    value = F.when(F.size(wrapped) == 1, F.get(wrapped, 0))
-    listed = F.get(F.from_json(value, "array<string>", STRICT_JSON), 0)
-    is_text = F.startswith(F.ltrim(codes), F.lit('"'))
-    return F.coalesce(F.when(is_text, F.left(value, F.lit(1))).otherwise(listed), F.lit(""))
+
+    def chosen(values: Column) -> Column:
+        value = F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+        listed = F.get(F.from_json(value, "array<string>", STRICT_JSON), F.lit(0))
+        is_text = F.startswith(F.ltrim(codes), F.lit('"'))
+        return F.when(is_text, F.left(value, F.lit(1))).otherwise(listed)
+
+    return F.coalesce(let(wrapped, chosen), F.lit(""))
 
 
 def country_name(code: Column) -> Column:

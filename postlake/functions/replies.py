@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from postlake.functions import charclass
+from postlake.functions.compose import let
 from postlake.functions.text import SPACE_CLASS
 from postlake.lists import MAX_YEARS
 
@@ -32,10 +33,12 @@ def parse_years_only(reply: Column) -> Column:
 
 def strip_code_fence(reply: Column) -> Column:
     """LB9: drop a leading fence line, language tag included, and the closing fence."""
-    trimmed = _trim_space(reply)
-    opened = F.regexp_replace(trimmed, rf"(?U)\A{FENCE}\w*\n?", "")
-    closed = F.regexp_replace(opened, rf"\n?{FENCE}[{SPACE_CLASS}]*\z", "")
-    return F.when(F.startswith(trimmed, F.lit(FENCE)), closed).otherwise(trimmed)
+    def unfenced(trimmed: Column) -> Column:
+        opened = F.regexp_replace(trimmed, rf"(?U)\A{FENCE}\w*\n?", "")
+        closed = F.regexp_replace(opened, rf"\n?{FENCE}[{SPACE_CLASS}]*\z", "")
+        return F.when(F.startswith(trimmed, F.lit(FENCE)), closed).otherwise(trimmed)
+
+    return let(_trim_space(reply), unfenced)
 
 
 def parse_years_and_price(reply: Column) -> Column:
@@ -43,30 +46,32 @@ def parse_years_and_price(reply: Column) -> Column:
 
     `years` must be a JSON number or boolean and land in 0..20 once truncated. The
     salary may be absent or null, a number, or a string holding an integer
-    (underscores may separate its digits); any other salary fails the whole reply. The value is parsed inside brackets so
-    that text after the object is an error.
+    (underscores may separate its digits); any other salary fails the whole reply.
+    The value is parsed inside brackets so that text after the object is an error.
     """
-    body = _trim_space(strip_code_fence(reply))
-    framed = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
-    parsed = F.when(framed, F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))))
+    def parsed(body: Column) -> Column:
+        framed = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
+        return F.when(framed, F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))))
+
+    return let(let(_trim_space(strip_code_fence(reply)), parsed), _years_and_price)
+
 
+def _years_and_price(parsed: Column) -> Column:
     def at(path: str, kind: str) -> Column:
         return F.try_variant_get(parsed, path, kind)
 
     def kind_of(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+        return F.schema_of_variant(at(path, "variant"))
 
     def whole(path: str) -> Column:
         truth = F.when(kind_of(path) == "BOOLEAN", at(path, "boolean").cast("bigint"))
         return F.coalesce(truth, at(path, "double").try_cast("bigint"))
 
-    alone = at("$[1]", "variant").isNull()
-    years = F.when(kind_of("$[0].years").rlike(NUMERIC_TYPES), whole("$[0].years"))
-    salary_kind = F.coalesce(kind_of("$[0].expected_salary"), F.lit("VOID"))
-    salary_text = _trim_space(_ascii_digits(at("$[0].expected_salary", "string")))
-    salary = F.when(
-        salary_kind.rlike(NUMERIC_TYPES), whole("$[0].expected_salary")
-    ).when(
+    years_path, salary_path = "$[0].years", "$[0].expected_salary"
+    years = F.when(kind_of(years_path).rlike(NUMERIC_TYPES), whole(years_path))
+    salary_kind = F.coalesce(kind_of(salary_path), F.lit("VOID"))
+    salary_text = _trim_space(_ascii_digits(at(salary_path, "string")))
+    salary = F.when(salary_kind.rlike(NUMERIC_TYPES), whole(salary_path)).when(
         salary_kind == "STRING", F.replace(salary_text, F.lit("_"), F.lit("")).try_cast("bigint")
     )
     salary_ok = (
@@ -74,6 +79,7 @@ def parse_years_and_price(reply: Column) -> Column:
         | salary_kind.rlike(NUMERIC_TYPES)
         | ((salary_kind == "STRING") & salary_text.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"))
     )
+    alone = at("$[1]", "variant").isNull()
     accepted = alone & years.between(0, MAX_YEARS) & salary_ok
     return F.when(
         accepted,

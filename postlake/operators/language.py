@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from postlake.functions.compose import derive
 from postlake.lists import ENGLISH_THRESHOLD
 
 BUCKETS = 1 << 15
@@ -33,26 +32,39 @@ def normalise(text: Column) -> Column:
 def trigram_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """LG1: how often each hashed trigram occurs per language.
 
-    Counts are combined before the shuffle, which therefore carries at most
-    languages x buckets rows per task, whatever the share of one language.
+    Counts are combined inside each task, so the shuffle carries at most languages x
+    buckets rows per task, whatever the share of one language.
     """
-    labelled = df.filter(F.col(lang).isNotNull() & (F.char_length(text) >= 3))
-    points = derive(
-        labelled, [lang],
-        points=F.transform(F.split(normalise(F.col(text)), ""), F.ascii),
-    )
-    a, b, c = MULTIPLIERS
-    all_points = F.col("points")
-    bucket = F.transform(
-        F.slice(all_points, F.lit(1), F.size(all_points) - 2),
-        lambda p, i: (p * a + F.get(all_points, i + 1) * b + F.get(all_points, i + 2) * c) % BUCKETS,
+    labelled = df.filter(F.col(lang).isNotNull()).select(
+        F.col(lang).alias("lang"), normalise(F.col(text)).alias("text")
     )
     return (
-        points.select(F.col(lang).alias("lang"), F.explode(bucket).alias("bucket"))
-        .groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        labelled.mapInPandas(_count_trigrams, "lang string, bucket int, n bigint")
+        .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
 
 
+def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of one partition, at most MAX_LANGUAGES arrays of BUCKETS at a time."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"]):
+            if lang not in counts:
+                if len(counts) == MAX_LANGUAGES:
+                    yield from _nonzero(counts)
+                    counts = {}
+                counts[lang] = np.zeros(BUCKETS, dtype=np.int64)
+            for bucket in _trigram_buckets(text or ""):
+                np.add.at(counts[lang], bucket, 1)
+    yield from _nonzero(counts)
+
+
+def _nonzero(counts: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    for lang, found in counts.items():
+        bucket = np.flatnonzero(found)
+        yield pd.DataFrame({"lang": lang, "bucket": bucket.astype(np.int32), "n": found[bucket]})
+
+
 def language_weights(counts: DataFrame) -> DataFrame:
     """Log probabilities with add-one smoothing, scaled to whole numbers.
 
@@ -137,15 +149,20 @@ class LanguageModel:
         return english(normalise(text))
 
 
-def _trigram_totals(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
-    """Summed weights per language over every trigram, a chunk of text at a time."""
+def _trigram_buckets(text: str) -> Iterator[np.ndarray]:
+    """Hashed trigrams of the whole text, a chunk at a time."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    n = max(len(points) - 2, 0)
-    totals = np.zeros(table.shape[1], dtype=np.int64)
     a, b, c = MULTIPLIERS
-    for start in range(0, n, CHUNK):
+    for start in range(0, max(len(points) - 2, 0), CHUNK):
         p = points[start:start + CHUNK + 2].astype(np.int64)
-        bucket = (p[:-2] * a + p[1:-1] * b + p[2:] * c) % BUCKETS
+        yield (p[:-2] * a + p[1:-1] * b + p[2:] * c) % BUCKETS
+
+
+def _trigram_totals(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """Summed weights per language over every trigram of a text, and their number."""
+    totals, n = np.zeros(table.shape[1], dtype=np.int64), 0
+    for bucket in _trigram_buckets(text):
+        n += len(bucket)
         if len(bucket) < BUCKETS:
             totals += table[bucket].sum(axis=0)
         else:

@@ -9,6 +9,7 @@ from postlake.operators import curate, labels, normalize
 from postlake.plans import inputs as i
 from postlake.plans.registry import query
 from postlake.schemas import TARGETS, is_missing
+from postlake.sources.tables import spread
 
 
 
@@ -19,7 +20,7 @@ def gold_english(text):
 
 
 def postings(spark, sf_dir):
-    return i.view(spark, sf_dir, i.POSTINGS)
+    return spread(i.view(spark, sf_dir, i.POSTINGS))
 
 
 def cleaned(spark, sf_dir):

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.lists import COUNTRY_NAMES, SKIP_TITLE_FRAGMENTS, SKIP_TITLES, US_STATE_NAMES
+from postlake.sources.tables import spread
 
 TABLES = "documents|labels|pages|conversations|orders|benchmark"
 
@@ -94,6 +95,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For costly text work: the given files hold one row group each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the views above over the Parquet files of `sf_dir`."""
     located = re.sub(

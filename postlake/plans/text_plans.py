@@ -20,7 +20,7 @@ def _pages(name, oracle_expr, fn):
     """A text expression over whole pages."""
     @query(name, f"SELECT page_id, {oracle_expr} AS out FROM pages")
     def run(spark, sf_dir):
-        return i.table(spark, sf_dir, "pages").select("page_id", fn(F.col("html")).alias("out"))
+        return i.spread_table(spark, sf_dir, "pages").select("page_id", fn(F.col("html")).alias("out"))
 
 
 _pages("tx1_preprocess_text", i.clean("html"), tx.preprocess_text)

@@ -42,6 +42,16 @@ def scan_examples(spark: SparkSession, folder: str, splits: list[str] = SPLITS)
     return reduce(DataFrame.unionByName, tables)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores if the input has fewer partitions than cores.
+
+    For costly per-row work on small or badly split files. A large table has more
+    partitions than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_examples(df: DataFrame, path: str) -> None:
     """SC3: replace a table. `path` must not be one `df` is read from."""
     df.write.mode("overwrite").parquet(path)
