@@ -21,7 +21,7 @@ from postlake.operators.normalize import SALARY, YEARS, apply_zscore, fit_norm_s
 from postlake.sources.scratch import cut_lineage
 from postlake.sources.tables import read_stats, write_stats
 
-FEATURES = 1 << 10
+FEATURES = 1 << 9
 REG_PARAMS = (0.05, 0.5, 2.0)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from postlake.operators import metrics, modeling, normalize
@@ -10,10 +11,11 @@ from postlake.plans import inputs as i
 from postlake.plans.registry import query
 from postlake.schemas import TARGETS
 from postlake.sources.scratch import scratch_path
+from postlake.sources.tables import spread
 
 
 def training(spark, sf_dir):
-    return i.view(spark, sf_dir, i.TRAINING)
+    return spread(i.view(spark, sf_dir, i.TRAINING))
 
 
 def fitted(spark, sf_dir):
@@ -25,7 +27,6 @@ def ml1(spark, sf_dir):
     rows = training(spark, sf_dir)
     pipeline = modeling.featurize_text().fit(rows.filter("split = 'train'"))
     features = pipeline.transform(rows)
-    from pyspark.ml.functions import vector_to_array
     weights = vector_to_array("features")
     return features.select(
         "row_id", F.size("words").alias("n_words"),
@@ -84,14 +85,10 @@ FROM (SELECT *, length(text) AS n FROM training), stats""", training=i.TRAINING,
 def ml5_external(spark, sf_dir):
     rows = training(spark, sf_dir)
     stats = normalize.fit_norm_stats(normalize.log_targets(rows))
-    predicted = modeling.predict_external(rows, length_model_factory, stats)
+    predicted = modeling.predict_external(rows, length_model, stats)
     return predicted.select("row_id", "pred_years", "pred_salary")
 
 
-def length_model_factory():
-    return length_model()
-
-
 @query("ml6_compare_predictions", i.with_views("""
 SELECT row_id, (CAST(expected_experience_years AS BIGINT) + 1) || ' vs ' || expected_experience_years AS exp,
   '$' || format('{:,}', expected_salary + 500) || ' vs ' || '$' || format('{:,}', expected_salary) AS salary,
