@@ -59,17 +59,22 @@ def chat_requests(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         F.min_by("text", F.when(is_system, F.col("turn"))).alias("system_message"),
     )
     last_part = F.floor(F.col("last_turn") / part_turns)
-    slots = facts.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part_no"),
-        last_part.alias("last_part"),
+    exploded = facts.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part_no")
+    )
+    is_last = F.col("part_no") == last_part
+    # Only the outer parts of a payload need these texts.
+    slots = exploded.select(
+        "conv_id", "part_no", "last_turn", is_last.alias("is_last"),
+        F.when(is_last, F.col("prompt")).alias("prompt"),
+        F.when(is_last | (F.col("part_no") == 0), F.col("system_message")).alias("system_message"),
     )
     joined = slots.join(_numbered_messages(turns, part_turns), ["conv_id", "part_no"], "left")
     earlier = F.filter(
         F.coalesce(F.col("numbered"), F.array()), lambda m: m["turn"] < F.col("last_turn")
     )
-    is_last = F.col("part_no") == F.col("last_part")
     return joined.select(
-        "conv_id", "part_no", is_last.alias("is_last"),
+        "conv_id", "part_no", "is_last",
         _messages(earlier).alias("history"), "system_message", "prompt",
     )
 

@@ -135,8 +135,11 @@ def call_responder(
 
 def valid_model_pairs(spark: SparkSession) -> DataFrame:
     """LB7: which provider serves which model."""
-    pairs = [(p, m) for p, models in PROVIDER_MODELS.items() for m in models]
-    return spark.createDataFrame(pairs, "provider string, model string")
+    pairs = [
+        F.struct(F.lit(provider).alias("provider"), F.lit(model).alias("model"))
+        for provider, models in PROVIDER_MODELS.items() for model in models
+    ]
+    return spark.range(1).select(F.inline(F.array(*pairs)))
 
 
 def is_valid_pair(provider: Column, model: Column) -> Column:

@@ -19,6 +19,7 @@ from postlake.lists import ENGLISH_THRESHOLD
 BUCKETS = 1 << 15
 MULTIPLIERS = (9973, 613, 1)
 WEIGHT_SCALE = 1 << 16
+# Trigrams are not independent: a longer text, read in full, counts as this many.
 EVIDENCE = 200
 MAX_LANGUAGES = 256
 CHUNK = 1 << 20
@@ -104,7 +105,7 @@ class LanguageModel:
         if len(languages) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
         column = {name: i for i, name in enumerate(languages)}
-        table = np.zeros((BUCKETS, len(languages)), dtype=np.int64)
+        table = np.zeros((BUCKETS, len(languages)), dtype=np.int32)
         unseen = rows[rows["bucket"] == -1]
         for name, weight in zip(unseen["lang"], unseen["weight"]):
             table[:, column[name]] = weight
@@ -164,7 +165,7 @@ def _trigram_totals(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
     for bucket in _trigram_buckets(text):
         n += len(bucket)
         if len(bucket) < BUCKETS:
-            totals += table[bucket].sum(axis=0)
+            totals += table[bucket].sum(axis=0, dtype=np.int64)
         else:
             totals += np.bincount(bucket, minlength=BUCKETS) @ table
     return totals, n

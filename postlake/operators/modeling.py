@@ -17,7 +17,14 @@ from postlake.functions import numeric
 from postlake.functions.text import format_dollars, preview
 from postlake.lists import PREDICT_BATCH_SIZE
 from postlake.operators.metrics import mse_losses
-from postlake.operators.normalize import SALARY, YEARS, apply_zscore, fit_norm_stats, log_targets
+from postlake.operators.normalize import (
+    SALARY,
+    YEARS,
+    apply_zscore,
+    constants,
+    fit_norm_stats,
+    log_targets,
+)
 from postlake.sources.scratch import cut_lineage
 from postlake.sources.tables import read_stats, write_stats
 
@@ -125,12 +132,9 @@ class TextRegressor:
 
 def real_predictions(stats: DataFrame, z_years: Column, z_salary: Column) -> list[Column]:
     """Normalised predictions as whole years and dollars."""
-    def constants(target: str) -> list[Column]:
-        row = stats.filter(F.col("target") == target)
-        return [row.select("mean").scalar(), row.select("std").scalar()]
-
-    years = numeric.safe_int(numeric.denorm(z_years, *constants(YEARS)))
-    salary = numeric.safe_int(numeric.denorm_salary(z_salary, *constants(SALARY)))
+    train = constants(stats)
+    years = numeric.safe_int(numeric.denorm(z_years, *train[YEARS]))
+    salary = numeric.safe_int(numeric.denorm_salary(z_salary, *train[SALARY]))
     return [years.cast("int").alias("pred_years"), salary.alias("pred_salary")]
 
 

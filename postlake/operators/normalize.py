@@ -34,17 +34,23 @@ def fit_norm_stats(df: DataFrame) -> DataFrame:
     return df.filter("split = 'train'").agg(F.array(*pairs).alias("s")).select(F.inline("s"))
 
 
-def stat(stats: DataFrame, target: str, name: str) -> Column:
-    """One statistic as a scalar subquery: computed once and joined with nothing."""
-    return stats.filter(F.col("target") == target).select(name).scalar()
+def constants(stats: DataFrame) -> dict[str, tuple[Column, Column]]:
+    """Mean and deviation per target as columns of any query.
+
+    All four come from one scalar subquery, which runs once and is joined with
+    nothing.
+    """
+    def of(target: str) -> Column:
+        return F.max(F.when(F.col("target") == target, F.struct("mean", "std"))).alias(target)
+
+    row = stats.agg(*map(of, TARGETS)).select(F.struct(*TARGETS)).scalar()
+    return {t: (row[t]["mean"], row[t]["std"]) for t in TARGETS}
 
 
 def apply_zscore(df: DataFrame, stats: DataFrame) -> DataFrame:
     """NM3: every split with the train statistics."""
-    return df.withColumns({
-        t: numeric.zscore(F.col(t), stat(stats, t, "mean"), stat(stats, t, "std"))
-        for t in TARGETS
-    })
+    train = constants(stats)
+    return df.withColumns({t: numeric.zscore(F.col(t), *train[t]) for t in TARGETS})
 
 
 def norm_check(normalised: DataFrame) -> DataFrame:

@@ -22,15 +22,17 @@ def fitted(spark, sf_dir):
     return modeling.TextRegressor.fit(training(spark, sf_dir))
 
 
-@query("ml1_featurize_text")
+@query("ml1_featurize_text", i.with_views(r"""
+SELECT row_id, n AS n_words, CAST(n AS BIGINT) AS n_counted
+FROM (SELECT row_id, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '\W+') IF w <> '']) AS INTEGER) AS n
+      FROM training)""", training=i.TRAINING))
 def ml1(spark, sf_dir):
     rows = training(spark, sf_dir)
     pipeline = modeling.featurize_text().fit(rows.filter("split = 'train'"))
     features = pipeline.transform(rows)
-    weights = vector_to_array("features")
+    counted = F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda total, n: total + n)
     return features.select(
-        "row_id", F.size("words").alias("n_words"),
-        F.size(F.filter(weights, lambda w: w > 0)).alias("n_features"))
+        "row_id", F.size("words").alias("n_words"), counted.cast("bigint").alias("n_counted"))
 
 
 @query("ml2_fit_two_target")

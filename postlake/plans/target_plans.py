@@ -65,8 +65,7 @@ def nm4(spark, sf_dir):
     # Undoing the normalisation gives the labels back.
     rows = logged(spark, sf_dir)
     stats = normalize.fit_norm_stats(rows)
-    back = numeric.denorm(
-        F.col(YEARS), normalize.stat(stats, YEARS, "mean"), normalize.stat(stats, YEARS, "std"))
+    back = numeric.denorm(F.col(YEARS), *normalize.constants(stats)[YEARS])
     return normalize.apply_zscore(rows, stats).select("row_id", F.round(back, 6).alias("years"))
 
 
@@ -75,8 +74,7 @@ SELECT row_id, round(CAST(expected_salary AS DOUBLE), 3) AS salary FROM complete
 def nm5(spark, sf_dir):
     rows = logged(spark, sf_dir)
     stats = normalize.fit_norm_stats(rows)
-    back = numeric.denorm_salary(
-        F.col(SALARY), normalize.stat(stats, SALARY, "mean"), normalize.stat(stats, SALARY, "std"))
+    back = numeric.denorm_salary(F.col(SALARY), *normalize.constants(stats)[SALARY])
     return normalize.apply_zscore(rows, stats).select("row_id", F.round(back, 3).alias("salary"))
 
 

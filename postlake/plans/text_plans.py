@@ -33,9 +33,9 @@ _documents("tx9_truncate_prompt", "left(text, 3500)", tx.truncate_prompt)
 _documents("tx10_preview", "replace(left(text, 80), chr(10), ' ')", tx.preview)
 
 
-@query("tx2_nfkc")
+@query("tx2_nfkc", "SELECT doc_id, text AS out FROM documents")
 def tx2(spark, sf_dir):
-    # Wide forms of the text's own letters give NFKC something to do.
+    # Wide forms of the text's own letters give NFKC something to undo.
     wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")
     docs = i.table(spark, sf_dir, "documents")
     return docs.select("doc_id", tx.nfkc(wide).alias("out"))

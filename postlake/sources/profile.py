@@ -8,7 +8,7 @@ from postlake.operators.sampling import nth_key
 from postlake.schemas import TARGETS
 
 QUARTILES = [("p25", 0.25), ("p50", 0.50), ("p75", 0.75)]
-PERCENTILE_ROWS = 5_000_000
+PERCENTILE_ROWS = 1_000_000
 
 
 def row_counts(df: DataFrame, complete: Column) -> DataFrame:
@@ -36,8 +36,11 @@ def describe(df: DataFrame, columns: list[str] = TARGETS) -> DataFrame:
         [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
     ]
     if values.count() <= PERCENTILE_ROWS:
-        quartiles = [F.percentile(c, q).alias(f"{c}_{p}") for c in columns for p, q in QUARTILES]
-        wide = values.agg(*basics, *quartiles)
+        shares = F.array(*[F.lit(q) for _, q in QUARTILES])
+        listed = values.agg(*basics, *[F.percentile(c, shares).alias(f"{c}_q") for c in columns])
+        wide = listed.withColumns({
+            f"{c}_{p}": F.get(f"{c}_q", F.lit(n)) for c in columns for n, (p, _) in enumerate(QUARTILES)
+        })
     else:
         found = {f"{c}_{p}": F.lit(interpolated(values, c, q))
                  for c in columns for p, q in QUARTILES}

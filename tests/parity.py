@@ -23,7 +23,7 @@ def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     return value if isinstance(value, str) else repr(value)
 
 

@@ -147,7 +147,7 @@ def test_train_statistics_only_and_back_again(spark):
     assert found["expected_experience_years"] == (2.0, pytest.approx(math.sqrt(2)))
     normed = normalize.apply_zscore(logged, stats)
     back = numeric.denorm_salary(
-        F.col("expected_salary"), *[normalize.stat(stats, "expected_salary", s) for s in ("mean", "std")])
+        F.col("expected_salary"), *normalize.constants(stats)["expected_salary"])
     assert [round(r[0], 6) for r in normed.select(back).collect()] == [10, 1000, 7, 0]
     flat = normalize.fit_norm_stats(logged.filter("expected_experience_years = 1"))
     assert normalize.apply_zscore(logged, flat).first()["expected_salary"] is None
