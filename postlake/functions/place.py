@@ -14,8 +14,8 @@ RENDERED = r"(?s)\A\[LOCATION\]: (.*?) \[TITLE\]: (.*?) \[DESC\]: (.*)\z"
 
 
 def _lookup(names: dict[str, str], code: Column, fallback: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(names.items())])
-    return F.coalesce(F.try_element_at(table, code), fallback)
+    entries = ", ".join(f"'{text}'" for text in chain.from_iterable(names.items()))
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), code), fallback)
 
 
 def first_country(codes: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlake.functions import pay, place, quality
-from postlake.operators import curate, labels, normalize
+from postlake.operators import curate, normalize
 from postlake.plans import inputs as i
 from postlake.plans.registry import query
 from postlake.schemas import TARGETS, is_missing
@@ -176,13 +176,3 @@ FROM reasons WHERE skip_reason IS NULL""", upto="reasons"))
 def ge7(spark, sf_dir):
     parts = place.parse_rendered_text(F.col("text"))
     return ge6(spark, sf_dir).select("job_id", *[c.alias(n) for n, c in parts.items()])
-
-
-@query("fl13_drop_failed", i.with_views("""
-SELECT r.row_id, r.reply FROM replies r
-WHERE r.years_only = 1 AND r.reply NOT IN ('100', 'none stated', '')""", replies=i.REPLIES))
-def fl13(spark, sf_dir):
-    replies = i.view(spark, sf_dir, i.REPLIES).filter("years_only = 1")
-    years = labels.parse_years_only(F.col("reply"))
-    status = F.when(years.isNull(), "failed").otherwise("updated")
-    return labels.drop_failed(replies.withColumn("status", status)).select("row_id", "reply")

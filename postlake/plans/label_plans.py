@@ -200,10 +200,9 @@ def lb7(spark, sf_dir):
 
 
 @query("lb8_parse_years_only", i.with_views(
-    f"SELECT row_id, {YEARS_ONLY_SQL} AS years FROM fixture WHERE years_only = 1", fixture=i.REPLIES))
+    f"SELECT row_id, {YEARS_ONLY_SQL} AS years FROM fixture", fixture=i.REPLIES))
 def lb8(spark, sf_dir):
-    rows = replies(spark, sf_dir).filter("years_only = 1")
-    return rows.select("row_id", rp.parse_years_only(F.col("reply")).alias("years"))
+    return replies(spark, sf_dir).select("row_id", rp.parse_years_only(F.col("reply")).alias("years"))
 
 
 FENCED = """
@@ -241,6 +240,12 @@ def lb11(spark, sf_dir):
     return rows.select("row_id", "status", "expected_experience_years", "expected_salary")
 
 
+@query("fl13_drop_failed", i.with_views(FILLED_SQL, **LABEL_VIEWS))
+def fl13(spark, sf_dir):
+    rows = labels.label_with_replies(with_replies(spark, sf_dir), F.col("reply"))
+    return labels.drop_failed(rows).select("row_id", "expected_experience_years", "expected_salary")
+
+
 @query("lb12_label_summary", i.with_views("""
 SELECT count(*) AS total, count(*) FILTER (work) AS found,
   count(*) FILTER (work AND new_years IS NOT NULL) AS updated,

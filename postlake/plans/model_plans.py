@@ -52,14 +52,12 @@ def ml4(spark, sf_dir):
     path = scratch_path(spark, "model")
     fitted(spark, sf_dir).save(path)
     model = modeling.TextRegressor.load(spark, path)
-    tested = training(spark, sf_dir).filter("split = 'test'")
-    return model.predict(tested).select("row_id", "pred_years", "pred_salary")
+    return model.predict(training(spark, sf_dir)).select("row_id", "pred_years", "pred_salary")
 
 
 @query("ml5_predict_batch")
 def ml5(spark, sf_dir):
-    tested = training(spark, sf_dir).filter("split = 'test'")
-    predicted = fitted(spark, sf_dir).predict(tested)
+    predicted = fitted(spark, sf_dir).predict(training(spark, sf_dir))
     return predicted.select("row_id", *TARGETS, "pred_years", "pred_salary")
 
 

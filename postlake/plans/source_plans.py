@@ -8,7 +8,7 @@ from postlake.functions import quality
 from postlake.operators import normalize
 from postlake.plans import inputs as i
 from postlake.plans.registry import query
-from postlake.plans.target_plans import LOGGED, STATS, VIEWS, described_sql, logged
+from postlake.plans.target_plans import VIEWS, described_sql, logged
 from postlake.schemas import EXAMPLE, RAW_POSTING, TARGETS, conform
 from postlake.sources import profile, tables
 from postlake.sources.scratch import scratch_path

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from postlake.plans import inputs as i
 from postlake.plans.curation_plans import FUNNEL_SQL, gold_english
 from postlake.plans.label_plans import RESPONSE_SQL, SEED, canned_responder

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from postlake.schemas import EXAMPLE, NORM_STATS, RAW_POSTING, check_same_columns
+from postlake.schemas import EXAMPLE, NORM_STATS, RAW_POSTING, check_same_columns, conform
 
 SPLITS = ["train", "val", "test"]
 
 
 def scan_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """SC1: every Parquet file of a folder; columns a file lacks read as NULL."""
-    df = spark.read.schema(RAW_POSTING).parquet(folder)
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no parquet files in {folder}")
-    return df
+    """SC1: every Parquet file of a folder; columns a file lacks read as NULL.
+
+    One footer tells the stored types, which are then cast: whole-number salaries
+    or a boolean `remote` are as good as the types of RAW_POSTING.
+    """
+    try:
+        stored = {f.name: f for f in spark.read.parquet(folder).schema}
+    except AnalysisException as failure:
+        raise FileNotFoundError(f"no parquet files in {folder}") from failure
+    schema = StructType([stored.get(f.name, f) for f in RAW_POSTING])
+    return conform(spark.read.schema(schema).parquet(folder), RAW_POSTING)
 
 
 def with_row_key(df: DataFrame) -> DataFrame:

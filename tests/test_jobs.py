@@ -112,6 +112,11 @@ def test_scan_postings(spark, tmp_path):
     row = tables.scan_postings(spark, folder).first().asDict()
     assert row.pop("job_title") == "Analyst" and row.pop("min_annual_salary_usd") == 7.0
     assert set(row.values()) == {None}
+    assert tables.with_row_key(tables.scan_postings(spark, folder)).select("row_no").first()[0] == 0
+    other = spark.createDataFrame([(True, 9)], "remote boolean, min_annual_salary_usd long")
+    other.write.parquet(str(tmp_path / "typed"))
+    typed = tables.scan_postings(spark, str(tmp_path / "typed")).first()
+    assert (typed["remote"], typed["min_annual_salary_usd"]) == (1, 9.0)
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         tables.scan_postings(spark, str(tmp_path / "empty"))
