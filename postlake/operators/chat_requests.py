@@ -20,7 +20,7 @@ from postlake.lists import (
     DEFAULT_TEMPERATURE,
 )
 
-PART_TURNS = 1 << 14
+PART_TURNS = 1 << 12
 
 
 def _numbered_messages(turns: DataFrame, part_turns: int) -> DataFrame:

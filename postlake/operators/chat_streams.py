@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from postlake.functions.compose import derive
 from postlake.functions.jsontext import as_json
 
-PART_LINES = 1 << 18
+# No provider returns more tokens, at most one line each, in one reply.
+PART_LINES = 1 << 17
 DATA = "data: "
 KEY = ["request_id", "part_no"]
 
@@ -42,13 +43,10 @@ def _facts(lines: DataFrame, stop: Column, started: Column | None = None) -> Dat
 
     The window runs over parts, not lines: a billion lines are a few thousand rows.
     """
+    started = F.lit(None).cast("bigint") if started is None else started
     facts = lines.groupBy(*KEY).agg(
         F.min(F.when(stop, F.col("line_no"))).alias("stop_here"),
-        F.max_by(
-            started if started is not None else F.lit(None).cast("bigint"),
-            F.when(started.isNotNull(), F.col("line_no")) if started is not None
-            else F.lit(None).cast("bigint"),
-        ).alias("started_here"),
+        F.max_by(started, F.when(started.isNotNull(), F.col("line_no"))).alias("started_here"),
     )
     request = W.partitionBy("request_id")
     earlier = request.orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)

@@ -127,7 +127,8 @@ def seeded_shuffle(df: DataFrame, order: list[str]) -> DataFrame:
     """SP1: every row with its 0-based `position` in the shuffled order.
 
     Rows are numbered inside value ranges of the first order column, each
-    starting where the ranges before it end, so no task sorts the whole table.
+    starting where the ranges before it end, so no task sorts the whole table. That
+    column must be a hash such as `order_hash`, which fills the ranges evenly.
     """
     value = F.col(order[0])
     size, low, high = df.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
