@@ -222,17 +222,22 @@ def payload_gemini(
     first: Column | None = None, last: Column | None = None,
 ) -> Column:
     """CH5: contents of parts. Only user and assistant turns of the history are
-    sent, the latter as `model`; the model name is part of the address."""
+    sent, the latter as `model`; a turn without a role is the user's. The model name
+    is part of the address."""
+    def speaker(message: Column) -> Column:
+        return F.coalesce(message["role"], F.lit("user"))
+
     spoken = F.filter(
-        F.coalesce(history, F.array()), lambda m: m["role"].isin("user", "assistant")
+        F.coalesce(history, F.array()), lambda m: speaker(m).isin("user", "assistant")
     )
 
     def text_part(text: Column) -> Column:
         return F.concat(F.lit('[{"text":'), F.coalesce(as_json(text), F.lit("null")), F.lit("}]"))
 
     def content(message: Column) -> Column:
-        role = F.when(message["role"] == "assistant", as_json("model")).otherwise(as_json("user"))
-        return json_object({"role": role, "parts": text_part(message["content"])})
+        role = F.when(speaker(message) == "assistant", as_json("model")).otherwise(as_json("user"))
+        said = F.coalesce(message["content"], F.lit(""))
+        return json_object({"role": role, "parts": text_part(said)})
 
     user_parts = text_part(prompt) if images is None else F.when(
         F.size(F.coalesce(images, F.array())) > 0, content_gemini(prompt, images)

@@ -74,7 +74,7 @@ def response_text(bodies: DataFrame, all_blocks: bool = False) -> DataFrame:
 def response_tool_calls(bodies: DataFrame) -> DataFrame:
     """CH10: one row per tool call: (request_id, provider, call_no, id, name, arguments).
 
-    Arguments are JSON text. Some providers send them as a JSON string, one sends no
+    Arguments are JSON text, NULL where they are malformed. Some providers send them as a JSON string, one sends no
     call ids and its calls take the function name.
     """
     parsed = derive(bodies, ["request_id", "provider"], body=F.try_parse_json("body"))
