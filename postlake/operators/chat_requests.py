@@ -47,35 +47,34 @@ def message_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
 def chat_requests(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One request per conversation: the last turn is the prompt, the rest history.
 
-    The first system turn, if any, is also the system message. Conversation facts
-    are repeated for each part and joined on (conv_id, part_no), the key the parts
-    are grouped by: the join adds no shuffle of text and a long conversation
-    spreads over many tasks.
+    The first system turn, if any, is also the system message. Conversation facts,
+    free of any other text, are repeated for each part and joined on (conv_id,
+    part_no), the key the parts are grouped by: the join adds no shuffle of text and
+    a long conversation spreads over many tasks.
     """
     is_system = F.col("role") == "system"
-    facts = turns.groupBy("conv_id").agg(
-        F.max("turn").alias("last_turn"),
-        F.max_by("text", "turn").alias("prompt"),
-        F.min_by("text", F.when(is_system, F.col("turn"))).alias("system_message"),
+    facts = turns.select(
+        "conv_id", "turn", F.when(is_system, F.struct("turn", "text")).alias("system_turn")
+    ).groupBy("conv_id").agg(
+        F.max("turn").alias("last_turn"), F.min("system_turn").alias("system_turn")
     )
     last_part = F.floor(F.col("last_turn") / part_turns)
     exploded = facts.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part_no")
     )
     is_last = F.col("part_no") == last_part
-    # Only the outer parts of a payload need these texts.
+    # Only the outer parts of a payload need the system message.
     slots = exploded.select(
         "conv_id", "part_no", "last_turn", is_last.alias("is_last"),
-        F.when(is_last, F.col("prompt")).alias("prompt"),
-        F.when(is_last | (F.col("part_no") == 0), F.col("system_message")).alias("system_message"),
+        F.when(is_last | (F.col("part_no") == 0), F.col("system_turn.text")).alias("system_message"),
     )
     joined = slots.join(_numbered_messages(turns, part_turns), ["conv_id", "part_no"], "left")
-    earlier = F.filter(
-        F.coalesce(F.col("numbered"), F.array()), lambda m: m["turn"] < F.col("last_turn")
-    )
+    numbered = F.coalesce(F.col("numbered"), F.array())
+    earlier = F.filter(numbered, lambda m: m["turn"] < F.col("last_turn"))
+    final = F.get(F.filter(numbered, lambda m: m["turn"] == F.col("last_turn")), F.lit(0))
     return joined.select(
-        "conv_id", "part_no", "is_last",
-        _messages(earlier).alias("history"), "system_message", "prompt",
+        "conv_id", "part_no", "is_last", _messages(earlier).alias("history"),
+        "system_message", final["content"].alias("prompt"),
     )
 
 

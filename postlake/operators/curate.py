@@ -49,12 +49,13 @@ def funnel(reasons: DataFrame) -> DataFrame:
 def build_examples(df: DataFrame, english: English, key: str = "job_id") -> DataFrame:
     """GE6: clean, filter, price, locate and render postings.
 
-    Only clean rows are wanted here, so the language check, the costly one, runs
-    after the deny lists.
+    Only clean rows are wanted here, so rows without a title or description leave at
+    the scan, and the language check, the costly one, runs after the deny lists.
     """
     title, desc = F.col("title"), F.col("desc")
+    present = F.col("job_title").isNotNull() & F.col("description").isNotNull()
     kept = (
-        clean_fields(df)
+        clean_fields(df.filter(present))
         .filter(quality.has_title_desc(title, desc))
         .filter(~quality.title_numeric_only(title) & ~quality.should_skip_title(title))
         .filter(english(combine_text(title, desc)))

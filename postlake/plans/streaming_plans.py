@@ -11,10 +11,19 @@ from postlake.streaming import jobs
 
 
 def _streamed(spark, sf_dir, sql):
-    """One of the input views over documents, as a stream."""
-    schema = i.table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-    stream.parquet(sf_dir).createOrReplaceTempView("streamed_documents")
+    """One of the input views over documents, as a stream.
+
+    A stream reads folders, so a table that is a single file is picked out of its
+    folder; its one row group is dealt over all cores.
+    """
+    table = i.table(spark, sf_dir, "documents")
+    reader = spark.readStream.schema(table.schema)
+    if [f.rsplit("/", 1)[-1] for f in table.inputFiles()] == ["documents.parquet"]:
+        stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        stream = stream.repartition(spark.sparkContext.defaultParallelism)
+    else:
+        stream = reader.parquet(f"{sf_dir}/documents.parquet")
+    stream.createOrReplaceTempView("streamed_documents")
     return spark.sql(sql.replace("FROM documents d", "FROM streamed_documents d"))
 
 
