@@ -112,7 +112,7 @@ def call_responder(
     attempts: int = LABEL_ATTEMPTS,
     wait_seconds: float = RETRY_SECONDS,
 ) -> Column:
-    """LB4: struct(reply, error, attempts) for a request struct, NULL for no request.
+    """LB4: struct(reply, error, attempts) for a request struct with a prompt.
 
     An Arrow batch at a time; `make_responder` runs once per task. As a column it
     leaves the rest of the row in the JVM and needs no join to bring replies back.
@@ -277,12 +277,15 @@ def ask(
     attempts: int = LABEL_ATTEMPTS,
     wait_seconds: float = RETRY_SECONDS,
 ) -> DataFrame:
-    """Examples with a `response`; rows with both labels carry a NULL request."""
+    """Examples with a `response`; rows with both labels carry no prompt."""
     work = quality.needs_work(F.col(YEARS), F.col(SALARY))
-    request = F.struct(*[F.when(work, f).alias(n) for f, n in zip(
-        request_fields(draw),
-        ["provider", "model", "system_message", "prompt", "temperature", "max_tokens"],
-    )])
+    fields = request_fields(draw)
+    # The numbers stay: a NULL among them would turn whole numbers into floats.
+    texts = [
+        F.when(work, f).alias(n)
+        for f, n in zip(fields, ["provider", "model", "system_message", "prompt"])
+    ]
+    request = F.struct(*texts, *fields[len(texts):])
     response = call_responder(request, make_responder, attempts, wait_seconds)
     return examples.withColumn("response", response)
 

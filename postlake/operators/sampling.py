@@ -8,11 +8,14 @@ without an id get one from `sources.tables.with_row_key`.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+log = logging.getLogger(__name__)
+
 HISTOGRAM = 1 << 16
 SORT_ROWS = 100_000
 TOP_K_ROWS = 10_000
@@ -87,7 +90,10 @@ def at_or_before(order: list[str], cut: tuple[Any, ...]) -> Column:
 def take_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """SP2: exactly the n rows with the smallest order keys, all rows if fewer."""
     cut = nth_key(df, order, n)
-    return df if cut is None else df.filter(at_or_before(order, cut))
+    if cut is None:
+        log.warning("fewer than the %d rows asked for", n)
+        return df
+    return df.filter(at_or_before(order, cut))
 
 
 def sample_n(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -103,6 +103,7 @@ def make_counting_responder(folder):
         import uuid
 
         def respond(batch):
+            assert set(batch["max_tokens"].map(type)) == {int} and set(batch["temperature"]) == {0}
             for prompt in batch["prompt"]:
                 (pathlib.Path(folder) / f"{prompt}-{uuid.uuid4().hex}").touch()
             return [("7" if s == PROMPT_YEARS_ONLY else '{"years": 4, "expected_salary": 900}', None)
