@@ -2,16 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlake.llm.decontaminate import find_leaks
+from postlake.llm.licences import scan_licences
 from postlake.llm.minhash import near_duplicates
+from postlake.llm.packing import pack
+from postlake.llm.repetition import measure_repetition, with_verdict
+from postlake.llm.secrets import scan_secrets, span_text
+from postlake.llm.sharding import DIGITS, SHARDS, SLOTS, fill_table, place
+from postlake.llm.toxicity import score_toxicity
+from postlake.llm.transducer import count_tokens
+from postlake.llm.urlfilter import Rule, judge_urls
 from postlake.plans.registry import query
 
+URL_RULES = [
+    Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"),
+]
+SHARD_NAMES = [f"shard-{n:03d}" for n in range(SHARDS)]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 @query("op1_minhash_near_dedup")
 def minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op2_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_license_scans")
+def license_scans(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op4_url_filters")
+def url_filters(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op5_quality_rules")
+def quality_rules(spark, sf_dir):
+    return with_verdict(measure_repetition(table(spark, sf_dir, "documents")))
+
+
+@query("op6_sharding", f"""
+    WITH slots AS (SELECT string_split('{",".join(map(str, fill_table(SHARD_NAMES)))}', ',') AS shards),
+    placed AS (
+        SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS}) AS BIGINT)
+            % {SLOTS} AS INTEGER) AS slot
+        FROM documents)
+    SELECT doc_id, slot, CAST(shards[slot + 1] AS INTEGER) AS shard FROM placed, slots""")
+def sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return place(docs, F.col("doc_id"), SHARD_NAMES).select("doc_id", "slot", "shard")
+
+
+@query("op7_token_counts")
+def token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+@query("op8_secret_scans")
+def secret_scans(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = span_text(F.filter("spans", lambda s: s["kind"] != "entropy"))
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"), F.sha2(base, 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
+@query("op9_packing")
+def packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=2048)
+
+
+@query("op10_toxicity")
+def toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "n_tokens")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 STEP = 0xD6E8FEB86659FD93
 
@@ -92,6 +92,32 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+def split_tokens(data: np.ndarray, offsets: np.ndarray):
+    """As `split_words` for tokens: runs of lower-case letters, digits and bytes beyond ASCII."""
+    inside = (data >= 0x80) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    starts, ends = runs(inside, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+class Lookup:
+    """Places of hashes in a sorted table; a bitmap turns most of the others away."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[table >> np.uint64(44)] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place in the table, or -1."""
+        found = np.full(hashes.shape, -1, np.int64)
+        at = np.nonzero(self.bits[hashes >> np.uint64(44)])
+        if len(at[0]) and len(self.table):
+            some = hashes[at]
+            place = np.minimum(np.searchsorted(self.table, some), len(self.table) - 1)
+            found[at] = np.where(self.table[place] == some, place, -1)
+        return found
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64."""
     cache = worker_cache()
