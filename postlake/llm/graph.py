@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from postlake.llm.ids import within
 from postlake.sources.scratch import cut_lineage
 
 
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
             left.select(F.col("b").alias("node"), F.col("a").alias("near")))
         least = both.groupBy("node").agg(F.min(F.struct(rank(F.col("near")).alias("r"), "near")).alias("m"))
         own = F.struct(rank(F.col("node")).alias("r"), F.col("node").alias("near"))
-        hooks = cut_lineage(least.select("node", F.least("m", own)["near"].alias("parent")), "hooks")
+        hooks = within(cut_lineage(least.select("node", F.least("m", own)["near"].alias("parent")), "hooks"))
         layers.append(hooks)
         mapped = left.join(hooks.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(
             hooks.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
@@ -35,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     found = layers[-1].select("node", F.col("parent").alias("root"))
     for layer in reversed(layers[:-1]):
-        above = found.select(F.col("node").alias("parent"), "root")
-        found = layer.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-    found = cut_lineage(found, "roots")
-    least = found.groupBy("root").agg(F.min("node").alias("component"))
-    return found.join(least, "root").select("node", "component")
+        above = within(found).select(F.col("node").alias("parent"), "root")
+        found = cut_lineage(layer.join(above, "parent", "left").select(
+            "node", F.coalesce("root", "parent").alias("root")), "roots")
+    least = cut_lineage(found.groupBy("root").agg(F.min("node").alias("component")), "least")
+    return cut_lineage(found.join(within(least), "root").select("node", "component"), "components")
 
 
 def _contracted(edges: DataFrame, a, b) -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.llm.graph import components
+from postlake.llm.ids import within
 from postlake.llm.words import distinct_sets, mix, slices, text_bytes, word_hashes
 from postlake.sources.scratch import cut_lineage
 
@@ -17,8 +18,7 @@ PER_LONG = 64 // BITS
 HASHES = BANDS * ROWS
 #: A pair is dropped unseen only if its estimate lies this many standard errors too low.
 SIGMAS = 5
-#: Document ids sent to every executor at most (16 bytes each); beyond it they are joined.
-BROADCAST_IDS = 1_000_000
+#: Members of one key that meet in one cell.
 BLOCK = 256
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>"
@@ -36,9 +36,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     2. Equal sets become one class, by digest, with map-side combination.
     3. Classes that share a band key are compared with the least class of that bucket: first
        by the collision-corrected estimate from bit counts, then on full sets.
-    4. Members of a bucket that are still in different components afterwards are compared
-       with each other, in blocks, again estimate first. So no link inside a bucket is
-       lost, and a bucket of a thousand copies costs a thousand comparisons.
+    4. Members of buckets that still hold several components are compared across components
+       where they share enough of their differences from one member (see `_across`). So no
+       link is lost, and a bucket of a thousand copies costs about a thousand comparisons.
 
     A text without words has an empty set and is its own component. Words of a text with
     fewer than five form one shingle. Rows that share a doc_id count as one document for
@@ -57,12 +57,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     stars = buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     likely = _likely(stars, signatures, least)
     links = _confirm(docs, likely, percent, shingle)
-    groups = cut_lineage(components(links), "components")
-    rest = _confirm(docs, _across(buckets, groups, signatures, least), percent, shingle)
-    if not rest.isEmpty():
-        groups = components(links.unionAll(rest))
+    groups = components(links)
+    open_ = _unresolved(buckets, groups)
+    if not open_.isEmpty():
+        rest = _confirm(docs, _across(docs, open_, percent, shingle), percent, shingle)
+        if not rest.isEmpty():
+            groups = components(links.unionAll(rest))
     labels = classes.select("d1", "d2", "rep").join(
-        groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+        within(groups).withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     found = sketches.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2"], "left")
     alone = lambda name: F.when(F.col("doc_id").isNotNull(), F.coalesce(name, "doc_id"))
@@ -72,6 +74,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
         alone("class_id").alias("class_id"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with one document of every group of near copies, the one with the least id.
+
+    Texts without words are no copies of each other. Of rows that repeat both doc_id and
+    text one stays; rows that share a doc_id with other texts stay or go together; rows
+    without doc_id stay.
+    """
+    found = cut_lineage(near_duplicates(docs, percent, shingle).select("doc_id", "kept"), "verdicts")
+    copies = cut_lineage(found.where("NOT kept").select("doc_id").distinct(), "copies")
+    left = docs.join(within(copies), "doc_id", "left_anti").select(*docs.columns)
+    again = cut_lineage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where(
+        "count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left
+    once = left.join(within(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return left.join(within(again), "doc_id", "left_anti").select(*docs.columns).unionAll(once)
+
+
 def _sketcher(shingle: int):
     def sketch(batches):
         draw = np.random.default_rng(20240607)
@@ -139,10 +159,10 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, rep, lead, members) for every bucket of at least two classes."""
+    """(key, rep, lead) for every bucket of at least two classes."""
     entries = classes.select("rep", F.explode("bands").alias("key"))
     heads = entries.groupBy("key").agg(
-        F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("members")
+        F.min("rep").alias("lead"), F.max("rep").alias("last")
     ).where("last > lead").drop("last")
     return cut_lineage(entries.join(heads, "key"), "buckets")
 
@@ -176,30 +196,75 @@ def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
         estimate(F.col("sa"), F.col("sb")) >= _cut(least)).select("a", "b").distinct()
 
 
-def _across(buckets: DataFrame, groups: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of a bucket whose ends are in different components so far."""
-    own = groups.select(F.col("node").alias("rep"), "component")
-    lead = groups.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
-    members = buckets.join(own, "rep", "left").join(lead, "lead", "left").select(
-        "key", "rep", "members", F.coalesce("component", "rep").alias("component"),
-        F.coalesce("lead_component", "lead").alias("lead_component"), (F.col("rep") == F.col("lead")).alias("leads"))
-    outside = F.col("component") != F.col("lead_component")
-    # Two members besides the lead are needed; pairs with the lead have been compared.
-    open_keys = members.where(outside).select("key").distinct()
-    members = members.where(~F.col("leads") & (F.col("members") > 2)).join(open_keys, "key", "left_semi").join(
-        signatures, "rep")
+def _unresolved(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, component, family) of the members of buckets that still hold several components.
+
+    A family is what such buckets connect; it is named by its least member.
+    """
+    own = within(groups).select(F.col("node").alias("rep"), "component")
+    members = cut_lineage(buckets.join(own, "rep", "left").select(
+        "key", "rep", "lead", F.coalesce("component", "rep").alias("component")), "members")
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_ = cut_lineage(members.join(mixed, "key", "left_semi").select("rep", "component", "lead").distinct(), "unresolved")
+    families = components(open_.select(F.col("lead").alias("a"), F.col("rep").alias("b"))).select(
+        F.col("node").alias("rep"), F.col("component").alias("family"))
+    return cut_lineage(open_.select("rep", "component").distinct().join(within(families), "rep"), "families")
+
+
+def _across(docs: DataFrame, open_: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Pairs of different components in one family that can still reach the threshold.
+
+    Let D(x) be the shingles in which x and the family's first member p differ. Two sets
+    x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and similarity t allows
+    (1 - t) / (1 + t) (|x| + |y|) of them. So x and y must share a certain number of
+    differences from p, one at least as not both are linked with p. The join on shared
+    differences therefore misses no link, and copies that each have edits of their own
+    do not meet, however many there are.
+    """
+    ids = open_.select(F.col("rep").alias("doc_id"))
+    texts = cut_lineage(docs.join(within(ids), "doc_id", "left_semi"), "texts")
+    side = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"t{end}"))
+    both = within(open_.select("rep", "family")).join(side("rep"), "rep").join(side("family"), "family")
+
+    def differ(batches):
+        for batch in slices(batches, "trep"):
+            for part in slices([batch], "tfamily"):
+                sets = [distinct_sets(*word_hashes(*text_bytes(part.column(c))), shingle) for c in ("trep", "tfamily")]
+                elements, sizes = [], np.zeros((2, part.num_rows), np.int64)
+                for row in range(part.num_rows):
+                    a, b = (flat[offsets[row]:offsets[row + 1]] for flat, offsets in sets)
+                    elements.append(np.setxor1d(a, b, assume_unique=True))
+                    sizes[:, row] = len(a), len(elements[-1])
+                rows = pa.array(np.repeat(np.arange(part.num_rows), sizes[1]))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("rep").take(rows), part.column("family").take(rows), pa.array(sizes[0]).take(rows),
+                    pa.array(sizes[1]).take(rows), pa.array(np.concatenate(elements).view(np.int64))],
+                    names=["rep", "family", "size", "away", "element"])
+
+    rows = both.mapInArrow(differ, "rep long, family long, size long, away long, element long")
+    rows = cut_lineage(rows.join(within(open_.select("rep", "component")), "rep"), "differences")
+    place = ["family", "element"]
+    common = rows.groupBy(*place).agg(
+        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("members > 1")
+    rows = cut_lineage(rows.join(common, place), "shared")
+    shared = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    rows = rows.where("low < high").join(within(cut_lineage(shared, "counts")), "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn(
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    a = members.where(outside).select(
-        "key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("rep").alias("a"),
-        F.col("component").alias("ca"), F.col("signature").alias("sa"))
-    b = members.select(
-        "key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("rep").alias("b"),
-        F.col("component").alias("cb"), F.col("signature").alias("sb"))
-    apart = (F.col("ca") != F.col("cb")) & (estimate(F.col("sa"), F.col("sb")) >= _cut(least))
-    pairs = a.join(b, ["key", "i", "j"]).where(apart)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    end = lambda e, own, other: rows.select(
+        *place, F.col(own).alias("i"), F.col(other).alias("j"), F.col("rep").alias(e), F.col("component").alias(f"c{e}"),
+        F.col("size").alias(f"n{e}"), F.col("away").alias(f"d{e}"), F.col("shared").alias(f"s{e}"), F.col("low").alias(f"l{e}"))
+    # One end of a pair is outside the element's least component.
+    a, b = end("a", "block", "other").where("ca <> la"), end("b", "other", "block")
+    # A hundredth is taken off so that rounding cannot lose a pair.
+    need = F.greatest(F.lit(1.0), F.ceil((
+        F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)) / 2 - 0.01))
+    possible = (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= need) & (
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = a.join(b, [*place, "i", "j"]).where(possible).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *place, need.alias("need")).distinct()
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -209,7 +274,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> D
     ids = cut_lineage(ids, "ids")
     texts = cut_lineage(docs.join(within(ids), "doc_id", "left_semi"), "texts")
     side = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"t{end}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = within(pairs).join(side("a"), "a").join(side("b"), "b")
 
     def compare(batches):
         for batch in slices(batches, "ta"):
@@ -225,8 +290,3 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> D
                     [part.column("a").take(pa.array(rows)), part.column("b").take(pa.array(rows))], names=["a", "b"])
 
     return cut_lineage(both.mapInArrow(compare, "a long, b long").distinct(), "links")
-
-
-def within(ids: DataFrame) -> DataFrame:
-    """The stored ids, marked for broadcast if their count is within BROADCAST_IDS."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
