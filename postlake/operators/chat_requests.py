@@ -1,16 +1,17 @@
 """Chat requests as tables: message history and provider payloads (CH1-CH6).
 
 A conversation may be arbitrarily long, so turns are grouped per conversation and
-per PART_TURNS positions in it. A usual conversation is one part, and its payload
-one complete JSON text. A longer one gives a payload per part, in order, whose
-concatenation is the JSON text; no task ever holds more than one part.
+per PART_TURNS positions in it, and every result is a row per part: `part_no` from 0
+to `n_parts` - 1, counting the parts that exist. A usual conversation is one part, and
+its payload one complete JSON text; the payloads of several parts, in order,
+concatenate to it. No task holds more than one part.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from postlake.functions.images import content_claude, content_gemini, content_openai
 from postlake.functions.jsontext import as_json, fields, json_object, not_empty
@@ -24,9 +25,9 @@ PART_TURNS = 1 << 12
 
 
 def _numbered_messages(turns: DataFrame, part_turns: int) -> DataFrame:
-    part = F.floor(F.col("turn") / part_turns)
+    slot = F.floor(F.col("turn") / part_turns)
     message = F.struct("turn", "role", F.col("text").alias("content"))
-    return turns.groupBy("conv_id", part.alias("part_no")).agg(
+    return turns.groupBy("conv_id", slot.alias("slot")).agg(
         F.array_sort(F.collect_list(message)).alias("numbered")
     )
 
@@ -37,44 +38,47 @@ def _messages(numbered: Column) -> Column:
     )
 
 
+def _parts(turns: DataFrame, part_turns: int) -> DataFrame:
+    """One thin row per part that exists: slot, part_no, n_parts, is_last and the system turn."""
+    slot = F.floor(F.col("turn") / part_turns).alias("slot")
+    system = F.when(F.col("role") == "system", F.struct("turn", "text"))
+    conversation = W.partitionBy("conv_id")
+    nth = (F.row_number().over(conversation.orderBy("slot")) - 1).cast("bigint")
+    count = F.count(F.lit(1)).over(conversation)
+    return turns.groupBy("conv_id", slot).agg(F.min(system).alias("system_turn")).select(
+        "conv_id", "slot", nth.alias("part_no"), count.alias("n_parts"), (nth == count - 1).alias("is_last"),
+        F.min("system_turn").over(conversation).alias("system_turn"),
+    )
+
+
 def message_history(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """CH1: (conv_id, part_no, messages), messages in order of turn."""
-    return _numbered_messages(turns, part_turns).select(
-        "conv_id", "part_no", _messages(F.col("numbered")).alias("messages")
+    """CH1: (conv_id, part_no, n_parts, messages), messages in order of turn."""
+    parts = _parts(turns, part_turns).select("conv_id", "slot", "part_no", "n_parts")
+    return parts.join(_numbered_messages(turns, part_turns), ["conv_id", "slot"]).select(
+        "conv_id", "part_no", "n_parts", _messages(F.col("numbered")).alias("messages")
     )
 
 
 def chat_requests(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One request per conversation: the last turn is the prompt, the rest history.
 
-    The first system turn, if any, is also the system message. Conversation facts,
-    free of any other text, are repeated for each part and joined on (conv_id,
-    part_no), the key the parts are grouped by: the join adds no shuffle of text and
-    a long conversation spreads over many tasks.
+    The first system turn, if any, is also the system message. Of rows that share the last
+    turn number, the last by role and text is the prompt. Conversation facts, free of
+    any other text, are repeated for each part and joined on (conv_id, slot), the key
+    the parts are grouped by: a long conversation spreads over many tasks.
     """
-    is_system = F.col("role") == "system"
-    facts = turns.select(
-        "conv_id", "turn", F.when(is_system, F.struct("turn", "text")).alias("system_turn")
-    ).groupBy("conv_id").agg(
-        F.max("turn").alias("last_turn"), F.min("system_turn").alias("system_turn")
-    )
-    last_part = F.floor(F.col("last_turn") / part_turns)
-    exploded = facts.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part_no")
-    )
-    is_last = F.col("part_no") == last_part
+    is_last = F.col("is_last")
     # Only the outer parts of a payload need the system message.
-    slots = exploded.select(
-        "conv_id", "part_no", "last_turn", is_last.alias("is_last"),
+    slots = _parts(turns, part_turns).select(
+        "conv_id", "slot", "part_no", "n_parts", "is_last",
         F.when(is_last | (F.col("part_no") == 0), F.col("system_turn.text")).alias("system_message"),
     )
-    joined = slots.join(_numbered_messages(turns, part_turns), ["conv_id", "part_no"], "left")
-    numbered = F.coalesce(F.col("numbered"), F.array())
-    earlier = F.filter(numbered, lambda m: m["turn"] < F.col("last_turn"))
-    final = F.get(F.filter(numbered, lambda m: m["turn"] == F.col("last_turn")), F.lit(0))
+    joined = slots.join(_numbered_messages(turns, part_turns), ["conv_id", "slot"])
+    numbered = F.col("numbered")
+    earlier = F.when(is_last, F.slice(numbered, 1, F.size(numbered) - 1)).otherwise(numbered)
     return joined.select(
-        "conv_id", "part_no", "is_last", _messages(earlier).alias("history"),
-        "system_message", final["content"].alias("prompt"),
+        "conv_id", "part_no", "n_parts", "is_last", _messages(earlier).alias("history"),
+        "system_message", F.when(is_last, F.element_at(numbered, -1)["content"]).alias("prompt"),
     )
 
 

@@ -72,10 +72,12 @@ def response_text(bodies: DataFrame, all_blocks: bool = False) -> DataFrame:
 
 
 def response_tool_calls(bodies: DataFrame) -> DataFrame:
-    """CH10: one row per tool call: (request_id, provider, call_no, id, name, arguments).
+    """CH10: one row per tool call: (request_id, provider, call_no, id, name, arguments, error).
 
-    Arguments are JSON text, NULL where they are malformed. Some providers send them as a JSON string, one sends no
-    call ids and its calls take the function name.
+    Arguments are JSON text. Where they are malformed they are NULL and `error` says so. A
+    body that failed or cannot be read gives one row with the error and no call; a body
+    without calls gives no row. Some providers send arguments as a JSON string, one sends
+    no call ids and its calls take the function name.
     """
     parsed = derive(bodies, ["request_id", "provider"], body=F.try_parse_json("body"))
     body, provider = F.col("body"), F.col("provider")
@@ -111,6 +113,14 @@ def response_tool_calls(bodies: DataFrame) -> DataFrame:
         ),
     )
     calls = F.when(provider.isin(OPENAI_LIKE), openai).when(provider == "claude", claude).otherwise(gemini)
-    return parsed.select("request_id", "provider", F.posexplode(calls).alias("call_no", "call")).select(
-        "request_id", "provider", "call_no", "call.id", "call.name", "call.arguments"
+    failure = _get(body, "$.error", "variant")
+    error = F.when(body.isNull(), "Error parsing response").when(
+        failure.isNotNull(), F.concat(F.lit("Error: "), F.to_json(failure)))
+    found = parsed.select("request_id", "provider", error.alias("failed"), calls.alias("calls"))
+    listed = F.when(F.col("failed").isNull(), F.col("calls"))
+    rows = found.select("request_id", "provider", "failed", F.posexplode_outer(listed).alias("call_no", "call"))
+    malformed = F.when(F.col("call").isNotNull() & F.col("call.arguments").isNull(), "Malformed arguments")
+    return rows.filter(F.col("failed").isNotNull() | F.col("call").isNotNull()).select(
+        "request_id", "provider", "call_no", "call.id", "call.name", "call.arguments",
+        F.coalesce("failed", malformed).alias("error"),
     )

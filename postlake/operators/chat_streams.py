@@ -2,8 +2,9 @@
 
 Input is a table (request_id, line_no, line). One request may hold a large share
 of all lines, so lines are grouped per request and per PART_LINES positions in it.
-A usual reply is one part. A longer one comes back as several rows, in order of
-`part_no`, whose concatenation is the whole; no task holds more than one part.
+Texts come back as rows in order of `part_no`, of which there are `n_parts` (one for a usual
+reply); their concatenation is the whole. Tool calls are put together from their
+pieces in every part and come back whole, one row per call, whatever the parts.
 Where a step depends on earlier lines (a stop line, the block last started), that
 fact is found per part first, in a table with one thin row per part.
 """
@@ -15,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from postlake.functions.compose import derive
 from postlake.functions.jsontext import as_json
 
-# No provider returns more tokens, at most one line each, in one reply.
 PART_LINES = 1 << 17
 DATA = "data: "
 KEY = ["request_id", "part_no"]
@@ -39,7 +39,8 @@ def _with_part(lines: DataFrame, part_lines: int) -> DataFrame:
 
 
 def _facts(lines: DataFrame, stop: Column, started: Column | None = None) -> DataFrame:
-    """One row per part up to the stop line: stop_at, last_part, block carried in.
+    """One row per part up to the stop line: stop_at, block carried in, and the part's
+    place among the `n_parts` that exist.
 
     The window runs over parts, not lines: a billion lines are a few thousand rows.
     """
@@ -50,13 +51,16 @@ def _facts(lines: DataFrame, stop: Column, started: Column | None = None) -> Dat
     )
     request = W.partitionBy("request_id")
     earlier = request.orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)
-    return facts.select(
+    kept = facts.select(
         *KEY,
         F.min("stop_here").over(request).alias("stop_at"),
         F.min("stop_here").over(earlier).alias("stopped_before"),
         F.last("started_here", ignorenulls=True).over(earlier).alias("carried"),
-        F.max("part_no").over(request).alias("last_part"),
     ).filter(F.col("stopped_before").isNull()).drop("stopped_before")
+    return kept.withColumns({
+        "nth": (F.row_number().over(request.orderBy("part_no")) - 1).cast("bigint"),
+        "n_parts": F.count(F.lit(1)).over(request),
+    })
 
 
 def _kept() -> Column:
@@ -71,9 +75,12 @@ def _ordered_text(piece: Column, *order: str) -> Column:
 
 def _texts(lines: DataFrame, piece: Column, stop: Column, part_lines: int) -> DataFrame:
     numbered = _with_part(lines, part_lines)
-    joined = numbered.join(_facts(numbered, stop).select(*KEY, "stop_at"), KEY)
-    pieces = derive(joined, [*KEY, "line_no"], piece=F.when(_kept(), piece))
-    return pieces.groupBy(*KEY).agg(_ordered_text(F.col("piece"), "line_no").alias("text"))
+    facts = _facts(numbered, stop).select(*KEY, "stop_at", "nth", "n_parts")
+    pieces = derive(
+        numbered.join(facts, KEY), [*KEY, "line_no", "nth", "n_parts"], piece=F.when(_kept(), piece))
+    return pieces.groupBy(*KEY, "nth", "n_parts").agg(
+        _ordered_text(F.col("piece"), "line_no").alias("text")
+    ).select("request_id", F.col("nth").alias("part_no"), "n_parts", "text")
 
 
 def stream_text_delta(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
@@ -99,52 +106,48 @@ def stream_text_jsonl(lines: DataFrame, part_lines: int = PART_LINES) -> DataFra
         F.try_parse_json("line"), "$.candidates[0].content.parts", "array<variant>"
     )
     texts = F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string"))
-    pieces = derive(
-        _with_part(lines, part_lines), [*KEY, "line_no"], piece=F.array_join(texts, "")
-    )
-    return pieces.groupBy(*KEY).agg(_ordered_text(F.col("piece"), "line_no").alias("text"))
+    return _texts(lines, F.array_join(texts, ""), F.lit(False), part_lines)
 
 
 def _checked(arguments: Column) -> Column:
-    """JSON text of the arguments, `{}` if they are empty or malformed.
-
-    A call longer than one part cannot be judged part by part; its parts stay as sent.
-    """
-    valid = F.coalesce(F.to_json(F.try_parse_json(F.nullif(arguments, F.lit("")))), F.lit("{}"))
-    return F.when(F.col("last_part") == 0, valid).otherwise(arguments)
+    """JSON text of the arguments, `{}` if they are empty or malformed."""
+    return F.coalesce(F.to_json(F.try_parse_json(F.nullif(arguments, F.lit("")))), F.lit("{}"))
 
 
 def stream_tool_calls_delta(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """CH14: tool calls by call index: last non-empty id and name, arguments joined."""
     numbered = _with_part(lines, part_lines)
-    facts = _facts(numbered, _is_done(F.col("line"))).select(*KEY, "stop_at", "last_part")
+    facts = _facts(numbered, _is_done(F.col("line"))).select(*KEY, "stop_at")
     data = F.try_parse_json(_payload(F.col("line")))
     deltas = F.try_variant_get(data, "$.choices[0].delta.tool_calls", "array<variant>")
     rows = numbered.join(facts, KEY).filter(_kept()).select(
-        *KEY, "line_no", "last_part", F.posexplode(deltas).alias("pos", "call")
+        *KEY, "line_no", F.posexplode(deltas).alias("pos", "call")
     )
 
     def member(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("call", path, kind)
 
     calls = derive(
-        rows, [*KEY, "line_no", "pos", "last_part"],
+        rows, [*KEY, "line_no", "pos"],
         call_index=F.coalesce(member("$.index", "int"), F.lit(0)),
         id=F.nullif(member("$.id"), F.lit("")),
         name=F.nullif(member("$.function.name"), F.lit("")),
         arguments=member("$.function.arguments"),
     )
-    at = F.struct("line_no", "pos")
 
     def last_given(name: str) -> Column:
-        given = F.max_by(name, F.when(F.col(name).isNotNull(), at))
-        return F.coalesce(given, F.lit("")).alias(name)
+        given = F.struct("line_no", "pos", F.col(name).alias("value"))
+        return F.max(F.when(F.col(name).isNotNull(), given)).alias(name)
 
-    return calls.groupBy(*KEY, "call_index").agg(
+    in_part = calls.groupBy(*KEY, "call_index").agg(
         last_given("id"), last_given("name"),
         _ordered_text(F.col("arguments"), "line_no", "pos").alias("arguments"),
-        F.first("last_part").alias("last_part"),
-    ).withColumn("arguments", _checked(F.col("arguments"))).drop("last_part")
+    )
+    return in_part.groupBy("request_id", "call_index").agg(
+        F.coalesce(F.max("id")["value"], F.lit("")).alias("id"),
+        F.coalesce(F.max("name")["value"], F.lit("")).alias("name"),
+        _checked(_ordered_text(F.col("arguments"), "part_no")).alias("arguments"),
+    )
 
 
 def stream_tool_calls_blocks(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
@@ -159,8 +162,7 @@ def stream_tool_calls_blocks(lines: DataFrame, part_lines: int = PART_LINES) ->
     )
     facts = _facts(numbered, _is_message_stop(F.col("line")), started)
     events = derive(
-        numbered.join(facts, KEY).filter(_kept()),
-        [*KEY, "line_no", "last_part", "carried"], data=data,
+        numbered.join(facts, KEY).filter(_kept()), [*KEY, "line_no", "carried"], data=data,
     )
 
     def member(path: str, kind: str = "string") -> Column:
@@ -168,7 +170,7 @@ def stream_tool_calls_blocks(lines: DataFrame, part_lines: int = PART_LINES) ->
 
     is_start = member("$.type") == "content_block_start"
     fields = derive(
-        events, [*KEY, "line_no", "last_part", "carried"],
+        events, [*KEY, "line_no", "carried"],
         started=F.when(is_start, F.coalesce(member("$.index", "bigint"), F.lit(0))),
         opens_tool=is_start & (member("$.content_block.type") == "tool_use"),
         id=member("$.content_block.id"),
@@ -190,19 +192,26 @@ def stream_tool_calls_blocks(lines: DataFrame, part_lines: int = PART_LINES) ->
         F.max_by("id", opened_at).alias("id"),
         F.max_by("name", opened_at).alias("name"),
         F.array_sort(F.collect_list(piece)).alias("pieces"),
-        F.first("last_part").alias("last_part"),
     )
     after_open = F.filter(
         F.col("pieces"), lambda p: F.coalesce(p["line_no"] > F.col("opened_at"), F.lit(True))
     )
     text = F.array_join(F.transform(after_open, lambda p: p["piece"]), "")
-    return blocks.filter((F.col("last_part") > 0) | F.col("opened_at").isNotNull()).select(
-        *KEY, "block_index", F.coalesce("id", F.lit("")).alias("id"),
-        F.coalesce("name", F.lit("")).alias("name"), _checked(text).alias("arguments"),
+    opening = F.struct("opened_at", "part_no", "id", "name")
+    whole = blocks.withColumn("text", text).groupBy("request_id", "block_index").agg(
+        F.max(F.when(F.col("opened_at").isNotNull(), opening)).alias("opened"),
+        F.array_sort(F.collect_list(F.struct("part_no", "text"))).alias("parts"),
+    )
+    # What came before the part that last opened the block belonged to an earlier call.
+    rest = F.filter("parts", lambda p: p["part_no"] >= F.col("opened.part_no"))
+    return whole.filter(F.col("opened").isNotNull()).select(
+        "request_id", "block_index", F.coalesce("opened.id", F.lit("")).alias("id"),
+        F.coalesce("opened.name", F.lit("")).alias("name"),
+        _checked(F.array_join(F.transform(rest, lambda p: p["text"]), "")).alias("arguments"),
     )
 
 
-def stream_tool_calls_merge(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+def stream_tool_calls_merge(lines: DataFrame) -> DataFrame:
     """CH16: calls of one name merge; a later value of an argument replaces the earlier.
 
     Arguments are merged one by one before they are put together, so many calls of
@@ -231,13 +240,11 @@ def stream_tool_calls_merge(lines: DataFrame, part_lines: int = PART_LINES) -> D
     )
     member_text = F.concat(as_json(F.col("key")), F.lit(":"), F.col("value"))
     entry = F.when(F.col("key").isNotNull(), F.struct("seen", member_text.alias("text")))
-    return merged.groupBy(
-        "request_id", F.floor(F.col("seen.line_no") / part_lines).alias("part_no"), "name"
-    ).agg(
+    return merged.groupBy("request_id", "name").agg(
         F.min("seen.line_no").alias("first_line"),
         F.array_sort(F.collect_list(entry)).alias("entries"),
     ).select(
-        *KEY, "first_line", F.col("name").alias("id"), "name",
+        "request_id", "first_line", F.col("name").alias("id"), "name",
         F.concat(
             F.lit("{"), F.array_join(F.transform("entries", lambda e: e["text"]), ","), F.lit("}")
         ).alias("arguments"),

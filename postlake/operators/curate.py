@@ -9,20 +9,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postlake.functions import pay, place, quality
 from postlake.functions.compose import derive
 from postlake.functions.text import combine_text, preprocess_text
+from postlake.lists import NEW_TRAIN_SIZE, NEW_VAL_SIZE
+from postlake.operators.sampling import positional_split
+from postlake.schemas import EXAMPLE, conform
+from postlake.sources.scratch import cut_lineage
+from postlake.sources.tables import append_examples
 
 KEPT = "kept"
 
 English = Callable[[Column], Column]
 
 
-def clean_fields(df: DataFrame) -> DataFrame:
-    """Replace the raw title and description by cleaned `title` and `desc`."""
-    rest = [c for c in df.columns if c not in ("job_title", "description")]
-    return derive(
-        df, rest,
-        title=preprocess_text(F.col("job_title")),
-        desc=preprocess_text(F.col("description")),
-    )
+RAW_FIELDS = {"title": "job_title", "desc": "description"}
+
+
+def clean_fields(df: DataFrame, fields: tuple[str, ...] = ("title", "desc")) -> DataFrame:
+    """Replace the raw title and description by cleaned `title` and `desc`, or by those of
+    `fields` alone: what is not asked for is neither cleaned nor read."""
+    rest = [c for c in df.columns if c not in RAW_FIELDS.values()]
+    return derive(df, rest, **{f: preprocess_text(F.col(RAW_FIELDS[f])) for f in fields})
 
 
 def with_skip_reason(df: DataFrame, english: English) -> DataFrame:
@@ -72,3 +77,19 @@ def build_examples(df: DataFrame, english: English, key: str = "job_id") -> Data
         priced.alias("expected_salary"),
         F.lit(-1).cast("bigint").alias("expected_experience_years"),
     )
+
+
+def curate_split_append(
+    postings: DataFrame, english: English, order: Callable[[DataFrame], DataFrame], keys: list[str], folder: str,
+    n_train: int = NEW_TRAIN_SIZE, n_val: int = NEW_VAL_SIZE,
+) -> None:
+    """The curation job: clean and filter postings, draw a sample, split it, and append it to
+    the tables `train.parquet` and `val.parquet` of `folder`; `test.parquet` is left alone.
+
+    `order` adds the `keys` that the sample is drawn by. Examples are written once before
+    they are drawn from, so texts are cleaned and scored once.
+    """
+    examples = cut_lineage(order(build_examples(postings, english)), "curated")
+    drawn = positional_split(examples, keys, n_train, n_val)
+    for split in ("train", "val"):
+        append_examples(conform(drawn.filter(F.col("split") == split), EXAMPLE), f"{folder}/{split}.parquet")

@@ -84,17 +84,16 @@ def retry_calls(
     attempts: int = LABEL_ATTEMPTS,
     wait_seconds: float = RETRY_SECONDS,
 ) -> pd.DataFrame:
-    """LB5: call again, after a wait, only the requests refused with a 429 error."""
+    """LB5: call again, after a wait, only the requests refused with a 429 error.
+
+    The responder sees the number of the try in the column `attempt`.
+    """
     outcome = pd.DataFrame(
         {"reply": None, "error": None, "attempts": 0}, index=requests.index, dtype=object
     )
     pending = requests.index
     for attempt in range(1, attempts + 1):
-        batch = requests.loc[pending]
-        try:
-            results = responder(batch)
-        except Exception as failure:
-            results = [(None, str(failure))] * len(batch)
+        results = _isolated(responder, requests.loc[pending].assign(attempt=attempt))
         for column, values in zip(("reply", "error"), zip(*results)):
             outcome.loc[pending, column] = pd.Series(values, index=pending, dtype=object)
         outcome.loc[pending, "attempts"] = attempt
@@ -106,6 +105,18 @@ def retry_calls(
     return outcome
 
 
+def _isolated(responder: Responder, batch: pd.DataFrame) -> list[tuple[str | None, str | None]]:
+    """One result per request. If the call raises, both halves of the batch are called
+    apart, down to the request that cannot be answered; only that one fails."""
+    try:
+        return list(responder(batch))
+    except Exception as failure:
+        if len(batch) == 1:
+            return [(None, str(failure))]
+    middle = len(batch) // 2
+    return _isolated(responder, batch.iloc[:middle]) + _isolated(responder, batch.iloc[middle:])
+
+
 def call_responder(
     request: Column,
     make_responder: Callable[[], Responder],
@@ -202,11 +213,7 @@ def with_fallback(
                 if not pending:
                     break
                 batch = requests.iloc[pending].assign(provider=provider, model=model)
-                try:
-                    results = responder(batch)
-                except Exception as failure:
-                    results = [(None, str(failure))] * len(batch)
-                for i, (reply, error) in zip(pending, results):
+                for i, (reply, error) in zip(pending, _isolated(responder, batch)):
                     if error is None and reply:
                         answers[i] = reply
                     else:
@@ -272,22 +279,25 @@ def label_with_replies(examples: DataFrame, reply: Column) -> DataFrame:
 
 def ask(
     examples: DataFrame,
+    key: str,
     draw: Column,
     make_responder: Callable[[], Responder],
     attempts: int = LABEL_ATTEMPTS,
     wait_seconds: float = RETRY_SECONDS,
+    path: str | None = None,
 ) -> DataFrame:
-    """Examples with a `response`; rows with both labels carry no prompt."""
-    work = quality.needs_work(F.col(YEARS), F.col(SALARY))
-    fields = request_fields(draw)
-    # The numbers stay: a NULL among them would turn whole numbers into floats.
-    texts = [
-        F.when(work, f).alias(n)
-        for f, n in zip(fields, ["provider", "model", "system_message", "prompt"])
-    ]
-    request = F.struct(*texts, *fields[len(texts):])
-    response = call_responder(request, make_responder, attempts, wait_seconds)
-    return examples.withColumn("response", response)
+    """(key, reply) of the examples with a missing label, written down before use.
+
+    They go to `path`, or to the shared folder. Only keys and replies are stored, so texts are not copied, and neither a second
+    reader nor a lost executor repeats a call whose task has ended.
+    """
+    work = examples.filter(quality.needs_work(F.col(YEARS), F.col(SALARY)))
+    response = call_responder(F.struct(*request_fields(draw)), make_responder, attempts, wait_seconds)
+    replies = work.select(key, response["reply"].alias("reply"))
+    if path is None:
+        return cut_lineage(replies, "replies")
+    replies.write.mode("overwrite").parquet(path)
+    return examples.sparkSession.read.schema(replies.schema).parquet(path)
 
 
 def fill_labels(
@@ -300,9 +310,18 @@ def fill_labels(
 ) -> tuple[DataFrame, DataFrame]:
     """LB13: the labelled table without failed rows, and its summary.
 
-    Replies are written down before anything reads them, so neither the summary
-    nor a lost executor repeats a call.
+    `key` is unique. Rows with both labels pass by; the others meet their stored
+    reply by key.
     """
-    asked = ask(examples, model_draw(key, seed=seed), make_responder, attempts, wait_seconds)
-    labelled = label_with_replies(cut_lineage(asked, "replies"), F.col("response.reply"))
+    replies = ask(examples, key, model_draw(key, seed=seed), make_responder, attempts, wait_seconds)
+    labelled = with_stored_replies(examples, key, replies)
     return drop_failed(labelled).select(*examples.columns), label_summary(labelled)
+
+
+def with_stored_replies(examples: DataFrame, key: str, replies: DataFrame) -> DataFrame:
+    """Examples with a status, labelled from stored (key, reply) rows."""
+    work = quality.needs_work(F.col(YEARS), F.col(SALARY))
+    answered = examples.filter(work).join(replies, key)
+    untouched = examples.filter(~work).withColumn("reply", F.lit(None).cast("string"))
+    rows = untouched.unionByName(answered.select(*examples.columns, "reply"))
+    return label_with_replies(rows, F.col("reply"))

@@ -119,7 +119,9 @@ class LanguageModel:
         for text in texts:
             totals, n = _trigram_totals(text or "", self.table)
             if n:
-                totals = totals * (min(n, EVIDENCE) / (n * WEIGHT_SCALE))
+                # Neighbouring trigrams repeat each other's evidence: n of them count as
+                # EVIDENCE * n / (EVIDENCE + n), one rule for all lengths.
+                totals = totals * (EVIDENCE / ((n + EVIDENCE) * WEIGHT_SCALE))
             odds = np.exp(totals - totals.max())
             best = int(odds.argmax())
             names.append(self.languages[best])

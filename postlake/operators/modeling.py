@@ -33,9 +33,9 @@ REG_PARAMS = (0.05, 0.5, 2.0)
 
 
 def featurize_text(features: int = FEATURES) -> Pipeline:
-    """ML1: words, hashed term counts, inverse document frequency."""
+    """ML1: words of any script, hashed term counts, inverse document frequency."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"),
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\W+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
         IDF(inputCol="counts", outputCol="features"),
     ])

@@ -14,6 +14,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from postlake.sources.scratch import cut_lineage
+
 log = logging.getLogger(__name__)
 
 HISTOGRAM = 1 << 16
@@ -89,16 +91,29 @@ def at_or_before(order: list[str], cut: tuple[Any, ...]) -> Column:
 
 def take_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """SP2: exactly the n rows with the smallest order keys, all rows if fewer."""
-    cut = nth_key(df, order, n)
+    df = df.filter(_has_key(order))
+    cut = nth_key(_keys(df, order), order, n)
     if cut is None:
         log.warning("fewer than the %d rows asked for", n)
         return df
     return df.filter(at_or_before(order, cut))
 
 
+def _has_key(order: list[str]) -> Column:
+    """Rows without an order key are never drawn."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in order])
+
+
+def _keys(df: DataFrame, order: list[str]) -> DataFrame:
+    """The thin keys, written once: finding a cut reads them several times, not `df`."""
+    return cut_lineage(df.select(*order), "keys")
+
+
 def sample_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """SP6, SP7: n rows without replacement. Small samples need one top-k pass."""
-    return df.orderBy(*order).limit(n) if n <= TOP_K_ROWS else take_n(df, order, n)
+    if n > TOP_K_ROWS:
+        return take_n(df, order, n)
+    return df.filter(_has_key(order)).orderBy(*order).limit(n)
 
 
 def first_k(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -111,12 +126,16 @@ def positional_split(df: DataFrame, order: list[str], n_train: int, n_val: int)
 
     A shortfall empties val first.
     """
-    train_cut = nth_key(df, order, n_train)
+    df = df.filter(_has_key(order))
+    keys = _keys(df, order)
+    train_cut, val_cut = nth_key(keys, order, n_train), nth_key(keys, order, n_train + n_val)
     if train_cut is None:
         return df.withColumn("split", F.lit("train"))
-    in_train = at_or_before(order, train_cut)
-    split = F.when(in_train, F.lit("train")).otherwise(F.lit("val"))
-    return take_n(df, order, n_train + n_val).withColumn("split", split)
+    split = F.when(at_or_before(order, train_cut), F.lit("train")).otherwise(F.lit("val"))
+    if val_cut is None:
+        log.warning("fewer than the %d rows asked for", n_train + n_val)
+        return df.withColumn("split", split)
+    return df.filter(at_or_before(order, val_cut)).withColumn("split", split)
 
 
 def hash_split(draw: Column, train: int, val: int) -> Column:

@@ -37,9 +37,9 @@ def turns(spark, sf_dir):
     return i.table(spark, sf_dir, "conversations")
 
 
-def requests(spark, sf_dir):
-    """Payload inputs; every conversation of the test tables is a single part."""
-    return cr.chat_requests(turns(spark, sf_dir)).withColumn("model", F.expr(OPENAI_MODEL))
+def requests(spark, sf_dir, part_turns=cr.PART_TURNS):
+    """Payload inputs, a row per part."""
+    return cr.chat_requests(turns(spark, sf_dir), part_turns).withColumn("model", F.expr(OPENAI_MODEL))
 
 
 # --- CH1-CH6 -------------------------------------------------------------------
@@ -75,11 +75,33 @@ OPENAI_TAIL = f"CASE WHEN {FIXED} THEN ',\"max_completion_tokens\":256' ELSE ',\
 
 
 def _payload_sql(expr):
-    return i.with_views(f"SELECT conv_id, {expr} AS payload FROM requests", requests=REQUESTS)
+    return i.with_views(f"""
+SELECT conv_id, CAST(0 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS n_parts, {expr} AS payload FROM requests""",
+        requests=REQUESTS)
+
+
+SMALL_PARTS = 2
+PARTS = f"SELECT conv_id, count(DISTINCT turn // {SMALL_PARTS}) AS n_parts FROM conversations GROUP BY conv_id"
+
+
+def _payload_query(name, build, expr):
+    """The payload under `name`, and again with parts of two turns, put together by part_no."""
+    @query(name, _payload_sql(expr))
+    def whole(spark, sf_dir):
+        return _payload(spark, sf_dir, build, cr.PART_TURNS)
+
+    @query(f"{name}_parts", i.with_views(
+        f"SELECT conv_id, n_parts, {expr} AS payload FROM requests JOIN parts USING (conv_id)",
+        requests=REQUESTS, parts=PARTS))
+    def parts(spark, sf_dir):
+        rows = _payload(spark, sf_dir, build, SMALL_PARTS)
+        listed = F.array_sort(F.collect_list(F.struct("part_no", "payload")))
+        return rows.groupBy("conv_id", "n_parts").agg(
+            F.array_join(F.transform(listed, lambda x: x["payload"]), "").alias("payload"))
 
 
 @query("ch1_message_history", """
-SELECT conv_id, CAST(0 AS BIGINT) AS part_no,
+SELECT conv_id, CAST(0 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS n_parts,
   CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS messages
 FROM conversations GROUP BY conv_id""")
 def ch1(spark, sf_dir):
@@ -87,41 +109,33 @@ def ch1(spark, sf_dir):
     return history.withColumn("messages", F.to_json("messages"))
 
 
-def _payload(spark, sf_dir, build):
+def _payload(spark, sf_dir, build, part_turns):
     args = (F.col("history"), F.col("prompt"), F.col("system_message"))
     bounds = {"first": F.col("part_no") == 0, "last": F.col("is_last")}
-    rows = requests(spark, sf_dir)
-    return rows.select("conv_id", build(*args, max_tokens=MAX_TOKENS, **bounds).alias("payload"))
-
-
-@query("ch2_payload_openai", _payload_sql(
-    f"""'{{"model":"' || model || '","messages":' || {LED} || ',"stream":false' || {OPENAI_TAIL} || '}}'"""))
-def ch2(spark, sf_dir):
-    return _payload(spark, sf_dir, lambda *a, **k: cr.payload_openai(F.col("model"), *a, **k))
+    rows = requests(spark, sf_dir, part_turns)
+    return rows.select(
+        "conv_id", "part_no", "n_parts", build(*args, max_tokens=MAX_TOKENS, **bounds).alias("payload"))
 
 
-@query("ch3_payload_grok", _payload_sql(
-    f"""'{{"model":"grok-3","messages":' || {LED} || ',"temperature":0.7,"stream":false,"max_tokens":256}}'"""))
-def ch3(spark, sf_dir):
-    return _payload(spark, sf_dir, lambda *a, **k: cr.payload_grok(F.lit("grok-3"), *a, **k))
+def _claude(*args, max_tokens, **bounds):
+    return cr.payload_claude(F.lit("claude-3-haiku-20240307"), *args, **bounds)
 
 
-@query("ch4_payload_claude", _payload_sql(
+_payload_query(
+    "ch2_payload_openai", lambda *a, **k: cr.payload_openai(F.col("model"), *a, **k),
+    f"""'{{"model":"' || model || '","messages":' || {LED} || ',"stream":false' || {OPENAI_TAIL} || '}}'""")
+_payload_query(
+    "ch3_payload_grok", lambda *a, **k: cr.payload_grok(F.lit("grok-3"), *a, **k),
+    f"""'{{"model":"grok-3","messages":' || {LED} || ',"temperature":0.7,"stream":false,"max_tokens":256}}'""")
+_payload_query(
+    "ch4_payload_claude", _claude,
     f"""'{{"model":"claude-3-haiku-20240307","messages":' || {PLAIN}
-    || ',"max_tokens":8096,"temperature":0.7' || {SYSTEM_TAIL} || '}}'"""))
-def ch4(spark, sf_dir):
-    def build(*args, max_tokens, **bounds):
-        return cr.payload_claude(F.lit("claude-3-haiku-20240307"), *args, **bounds)
-    return _payload(spark, sf_dir, build)
-
-
-@query("ch5_payload_gemini", _payload_sql(GEMINI_CONTENTS + " || '}'"))
-def ch5(spark, sf_dir):
-    return _payload(spark, sf_dir, cr.payload_gemini)
+    || ',"max_tokens":8096,"temperature":0.7' || {SYSTEM_TAIL} || '}}'""")
+_payload_query("ch5_payload_gemini", cr.payload_gemini, GEMINI_CONTENTS + " || '}'")
 
 
 @query("ch6_payload_tools", i.with_views(f"""
-SELECT conv_id,
+SELECT conv_id, CAST(0 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS n_parts,
   '{{"model":"' || model || '","messages":' || {LED} || ',"tools":{TOOLS_JSON},"tool_choice":"auto"' || {OPENAI_TAIL} || '}}' AS openai,
   '{{"model":"grok-3","messages":' || {LED} || ',"tools":{TOOLS_JSON},"tool_choice":"auto","temperature":0.7,"max_tokens":256}}' AS grok,
   '{{"model":"claude-3-haiku-20240307","messages":' || {PLAIN} || ',"tools":{TOOLS_JSON},"max_tokens":256,"temperature":0.7' || {SYSTEM_TAIL} || '}}' AS claude,
@@ -132,7 +146,7 @@ def ch6(spark, sf_dir):
     common = {"max_tokens": MAX_TOKENS, "tools": F.lit(TOOLS_JSON),
               "first": F.col("part_no") == 0, "last": F.col("is_last")}
     return requests(spark, sf_dir).select(
-        "conv_id",
+        "conv_id", "part_no", "n_parts",
         cr.payload_openai(F.col("model"), *args, **common).alias("openai"),
         cr.payload_grok(F.lit("grok-3"), *args, **common).alias("grok"),
         cr.payload_claude(F.lit("claude-3-haiku-20240307"), *args, **common).alias("claude"),
@@ -254,14 +268,19 @@ def call_bodies(spark, sf_dir):
             F.lit('{"candidates":[{"content":{"parts":[{"functionCall":{"name":"keep","args":'), args,
             F.lit('}},{"text":"on it"},{"functionCall":{"name":"stop"}}]}}]}')),
     )
-    return numbered(spark, sf_dir).withColumn("body", body)
+    failing = F.when(F.col("request_id") % 7 == 0, '{"error":{"code":500}}').when(
+        F.col("request_id") % 11 == 0, "{broken")
+    return numbered(spark, sf_dir).withColumn("body", F.coalesce(failing, body))
 
 
 @query("ch10_response_tool_calls", i.with_views(f"""
 SELECT request_id, provider, 0 AS call_no, CASE WHEN provider = 'gemini' THEN 'keep' ELSE 'a' END AS id,
-  'keep' AS name, {ARGUMENTS_SQL} AS arguments FROM numbered
+  'keep' AS name, {ARGUMENTS_SQL} AS arguments, NULL AS error FROM numbered WHERE request_id % 7 <> 0 AND request_id % 11 <> 0
 UNION ALL SELECT request_id, provider, 1, CASE WHEN provider = 'gemini' THEN 'stop' ELSE 'b' END,
-  'stop', '{{}}' FROM numbered""", numbered=NUMBERED))
+  'stop', '{{}}', NULL FROM numbered WHERE request_id % 7 <> 0 AND request_id % 11 <> 0
+UNION ALL SELECT request_id, provider, NULL, NULL, NULL, NULL,
+  CASE WHEN request_id % 7 = 0 THEN 'Error: {{"code":500}}' ELSE 'Error parsing response' END
+FROM numbered WHERE request_id % 7 = 0 OR request_id % 11 = 0""", numbered=NUMBERED))
 def ch10(spark, sf_dir):
     return rs.response_tool_calls(call_bodies(spark, sf_dir))
 
@@ -279,13 +298,10 @@ def _chunks(spark, sf_dir, text):
 
 def _lines(spark, sf_dir, chunks, line, before=(), after=()):
     """Stream lines: fixed lines before, one per chunk, fixed lines after."""
-    ids = numbered(spark, sf_dir).select("request_id")
     rows = chunks.select("request_id", (F.col("n") + 100).cast("bigint").alias("line_no"), line.alias("line"))
-    for n, fixed in enumerate(before):
-        rows = rows.union(ids.select("request_id", F.lit(n).cast("bigint"), F.lit(fixed)))
-    for n, fixed in enumerate(after):
-        rows = rows.union(ids.select("request_id", F.lit(100_000 + n).cast("bigint"), F.lit(fixed)))
-    return rows
+    fixed = [*enumerate(before), *enumerate(after, 100_000)]
+    cells = F.array(*[F.struct(F.lit(n).cast("bigint").alias("line_no"), F.lit(x).alias("line")) for n, x in fixed])
+    return rows.union(numbered(spark, sf_dir).select("request_id", F.inline(cells)))
 
 
 def _delta(members):
@@ -293,7 +309,7 @@ def _delta(members):
 
 
 TEXT_SQL = i.with_views(
-    "SELECT request_id, CAST(0 AS BIGINT) AS part_no, text FROM numbered", numbered=NUMBERED)
+    "SELECT request_id, CAST(0 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS n_parts, text FROM numbered", numbered=NUMBERED)
 
 
 @query("ch11_stream_text_delta", TEXT_SQL)
@@ -330,48 +346,73 @@ def ch13(spark, sf_dir):
     return st.stream_text_jsonl(lines)
 
 
-@query("ch14_stream_tool_calls_delta", i.with_views(f"""
-SELECT request_id, CAST(0 AS BIGINT) AS part_no, 0 AS call_index, 'a' AS id, 'keep' AS name,
+#: Lines to a part in the second registration of a query.
+FEW_LINES = 4
+
+
+def _twice(name, sql, lines, build):
+    """`build` on the lines, and again in parts of FEW_LINES: the same calls."""
+    @query(name, sql)
+    def whole(spark, sf_dir):
+        return build(lines(spark, sf_dir), st.PART_LINES)
+
+    @query(f"{name}_parts", sql)
+    def parts(spark, sf_dir):
+        return build(lines(spark, sf_dir), FEW_LINES)
+
+
+CH14_SQL = i.with_views(f"""
+SELECT request_id, 0 AS call_index, 'a' AS id, 'keep' AS name,
   {ARGUMENTS_SQL} AS arguments FROM numbered
-UNION ALL SELECT request_id, 0, 2, 'b2', 'stop', '{{}}' FROM numbered""", numbered=NUMBERED))
-def ch14(spark, sf_dir):
+UNION ALL SELECT request_id, 2, 'b2', 'stop', '{{}}' FROM numbered""", numbered=NUMBERED)
+
+
+def _delta_lines(spark, sf_dir):
     call = json_object({"arguments": as_json(F.col("piece"))})
     line = _delta(F.concat(
         F.lit('{"tool_calls":[{"index":0,"id":"","function":'), call, F.lit("}]}")))
-    lines = _lines(
+    return _lines(
         spark, sf_dir, _chunks(spark, sf_dir, _arguments()), line,
         before=['data: {"choices":[{"delta":{"tool_calls":[{"id":"a","function":{"name":"keep"}},'
                 '{"index":2,"id":"b","function":{"name":"stop","arguments":"{not"}}]}}]}',
                 'data: {"choices":[{"delta":{"tool_calls":[{"index":2,"id":"b2"}]}}]}'],
         after=["data: [DONE]",
                'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"late"}]}}]}'])
-    return st.stream_tool_calls_delta(lines)
 
 
-@query("ch15_stream_tool_calls_blocks", i.with_views(f"""
-SELECT request_id, CAST(0 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS block_index, 'a' AS id, 'keep' AS name,
-  '{{}}' AS arguments FROM numbered
-UNION ALL SELECT request_id, 0, 2, 'b', 'stop', {ARGUMENTS_SQL} FROM numbered""", numbered=NUMBERED))
-def ch15(spark, sf_dir):
-    # Lines name block 1 but block 2 was started last, so block 2 gets the text.
+_twice("ch14_stream_tool_calls_delta", CH14_SQL, _delta_lines, st.stream_tool_calls_delta)
+
+CH15_SQL = i.with_views(f"""
+SELECT request_id, CAST(1 AS BIGINT) AS block_index, 'a' AS id, 'keep' AS name, '{{}}' AS arguments FROM numbered
+UNION ALL SELECT request_id, 2, 'b', 'stop', {ARGUMENTS_SQL} FROM numbered""", numbered=NUMBERED)
+
+
+def _block_lines(spark, sf_dir):
+    # Lines name block 1 but block 2 was started last, so block 2 gets the text. Block 2
+    # was open before, under another name; block 7 never is.
     line = F.concat(
         F.lit('data: {"type":"content_block_delta","index":1,"delta":{"type":"input_json_delta","partial_json":'),
         as_json(F.col("piece")), F.lit("}}"))
-    lines = _lines(
+    stray = 'data: {"type":"content_block_delta","delta":{"type":"input_json_delta","partial_json":"stray"}}'
+    return _lines(
         spark, sf_dir, _chunks(spark, sf_dir, _arguments()), line,
-        before=['data: {"type":"content_block_start","index":0,"content_block":{"type":"text"}}',
+        before=[stray, 'data: {"type":"content_block_start","index":7,"content_block":{"type":"text"}}', stray,
+                'data: {"type":"content_block_start","index":2,"content_block":{"type":"tool_use","id":"old","name":"old"}}',
+                stray, 'data: {"type":"content_block_start","index":0,"content_block":{"type":"text"}}',
                 'data: {"type":"content_block_start","index":1,"content_block":{"type":"tool_use","id":"a","name":"keep"}}',
                 'data: {"type":"content_block_start","index":2,"content_block":{"type":"tool_use","id":"b","name":"stop"}}'],
         after=['data: {"type":"message_stop"}',
                'data: {"type":"content_block_delta","delta":{"type":"input_json_delta","partial_json":"late"}}'])
-    return st.stream_tool_calls_blocks(lines)
+
+
+_twice("ch15_stream_tool_calls_blocks", CH15_SQL, _block_lines, st.stream_tool_calls_blocks)
 
 
 @query("ch16_stream_tool_calls_merge", i.with_views("""
-SELECT request_id, CAST(0 AS BIGINT) AS part_no, CAST(0 AS BIGINT) AS first_line, 'stop' AS id, 'stop' AS name,
+SELECT request_id, CAST(0 AS BIGINT) AS first_line, 'stop' AS id, 'stop' AS name,
   '{}' AS arguments FROM numbered
 UNION ALL
-SELECT request_id, 0, 1, 'keep', 'keep', '{"first":true,"last":'
+SELECT request_id, 1, 'keep', 'keep', '{"first":true,"last":'
   || CAST(to_json(right(text, CAST((length(text) - 1) % 40 + 1 AS BIGINT))) AS VARCHAR)
   || ',"n":' || ((length(text) + 39) // 40) || '}' FROM numbered""", numbered=NUMBERED))
 def ch16(spark, sf_dir):

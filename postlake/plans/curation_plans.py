@@ -34,7 +34,8 @@ def scored(spark, sf_dir):
 def _on_cleaned(name, oracle_expr, fn):
     @query(name, i.curated(f"SELECT job_id, {oracle_expr} AS out FROM cleaned", upto="cleaned"))
     def run(spark, sf_dir):
-        return cleaned(spark, sf_dir).select("job_id", fn().alias("out"))
+        titles = curate.clean_fields(postings(spark, sf_dir), ("title",))
+        return titles.select("job_id", fn().alias("out"))
 
 
 _on_cleaned("fl2_title_numeric_only", i.NUMERIC_TITLE, lambda: quality.title_numeric_only(F.col("title")))

@@ -104,15 +104,13 @@ def lb3(spark, sf_dir):
 
 
 def canned_responder():
-    """Answers from the prompt alone; refuses some requests once with a 429."""
-    refused: set[str] = set()
-
+    """Answers from the request alone; refuses some on their first try with a 429."""
     def respond(requests: pd.DataFrame):
         results = []
-        for prompt, system in zip(requests["prompt"], requests["system_message"]):
+        for prompt, system, attempt in zip(
+                requests["prompt"], requests["system_message"], requests["attempt"]):
             n = len(prompt)
-            if n % 7 == 0 and prompt not in refused:
-                refused.add(prompt)
+            if n % 7 == 0 and attempt == 1:
                 results.append((None, "429 Too Many Requests"))
             elif n % 11 == 0:
                 results.append((None, "500 Server Error"))
@@ -149,11 +147,37 @@ def lb4(spark, sf_dir):
     return asked(spark, sf_dir).select("row_id", "r.reply", "r.error")
 
 
-@query("lb5_retry_policy")
+@query("lb5_retry_policy", i.with_views("""
+SELECT row_id, CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 11 = 0 THEN '500 Server Error' END AS error
+FROM (SELECT *, length(left(text, 3500)) AS n FROM labelled
+      WHERE expected_salary = -1 OR expected_experience_years = -1)""", labelled=i.LABELLED))
 def lb5(spark, sf_dir):
     return asked(spark, sf_dir).select("row_id", "r.attempts", "r.error")
 
 
+def raising_responder():
+    """As the canned one without refusals, but fails outright on a batch with certain lengths."""
+    answer = canned_responder()
+
+    def respond(requests: pd.DataFrame):
+        if any(len(prompt) % 50 == 0 for prompt in requests["prompt"]):
+            raise ValueError("unreadable request")
+        return answer(requests.assign(attempt=2))
+    return respond
+
+
+@query("lb4_isolated_failures", i.with_views("""
+SELECT row_id, CASE WHEN n % 50 <> 0 THEN reply END AS reply,
+  CASE WHEN n % 50 = 0 THEN 'unreadable request' ELSE error END AS error
+FROM responses JOIN (SELECT row_id, length(left(text, 3500)) AS n FROM labelled) USING (row_id)""",
+    labelled=i.LABELLED, responses=RESPONSE_SQL))
+def lb4_isolated(spark, sf_dir):
+    response = labels.call_responder(
+        F.struct(*labels.request_fields(draw(), PORTABLE_DRAWS)), raising_responder, wait_seconds=0)
+    work = labels.quality.needs_work(F.col("expected_experience_years"), F.col("expected_salary"))
+    return labelled(spark, sf_dir).filter(work).select("row_id", response.alias("r")).select("row_id", "r.reply", "r.error")
+
+
 CHAIN = [("openai", "gpt-4o-mini"), ("grok", "gpt-4o"), ("claude", "claude-sonnet-4-20250514")]
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from postlake.operators import metrics, modeling, normalize
+from postlake.lists import PREDICT_SAMPLE_SIZE
+from postlake.operators import metrics, modeling, normalize, sampling
 from postlake.plans import inputs as i
 from postlake.plans.registry import query
 from postlake.schemas import TARGETS
@@ -24,7 +25,7 @@ def fitted(spark, sf_dir):
 
 @query("ml1_featurize_text", i.with_views(r"""
 SELECT row_id, n AS n_words, CAST(n AS BIGINT) AS n_counted
-FROM (SELECT row_id, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '\W+') IF w <> '']) AS INTEGER) AS n
+FROM (SELECT row_id, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}]+') IF w <> '']) AS INTEGER) AS n
       FROM training)""", training=i.TRAINING))
 def ml1(spark, sf_dir):
     rows = training(spark, sf_dir)
@@ -47,12 +48,52 @@ def ml2(spark, sf_dir):
     return metrics.mse_losses(scored, "split")
 
 
-@query("ml4_save_load_model")
+@query("ml2_fit_one_feature", i.with_views("""
+SELECT 'years' AS target, round(regr_slope(expected_experience_years, n), 6) AS slope,
+  round(regr_intercept(expected_experience_years, n), 6) AS intercept FROM lengths
+UNION ALL SELECT 'salary', round(regr_slope(expected_salary, n), 6), round(regr_intercept(expected_salary, n), 6)
+FROM lengths""", training=i.TRAINING, lengths="""
+SELECT CAST(expected_experience_years AS DOUBLE) AS expected_experience_years,
+  CAST(expected_salary AS DOUBLE) AS expected_salary, length(text) / 1000.0 AS n FROM training"""))
+def ml2_one_feature(spark, sf_dir):
+    """Both heads on the text length alone, without penalty: plain least squares."""
+    rows = training(spark, sf_dir).withColumn("features", array_to_vector(F.array(F.length("text") / 1000.0)))
+    heads = modeling.fit_two_target(rows, 0.0).stages
+    lines = [
+        F.struct(F.lit(name).alias("target"), F.round(F.lit(float(h.coefficients[0])), 6).alias("slope"),
+                 F.round(F.lit(float(h.intercept)), 6).alias("intercept"))
+        for name, h in zip(("years", "salary"), heads)
+    ]
+    return spark.range(1).select(F.inline(F.array(*lines)))
+
+
+@query("ml4_save_load_model", i.with_views(
+    "SELECT row_id, true AS same FROM training", training=i.TRAINING))
 def ml4(spark, sf_dir):
+    """Whether the model gives every row the same predictions before and after a reload."""
     path = scratch_path(spark, "model")
-    fitted(spark, sf_dir).save(path)
-    model = modeling.TextRegressor.load(spark, path)
-    return model.predict(training(spark, sf_dir)).select("row_id", "pred_years", "pred_salary")
+    model, rows = fitted(spark, sf_dir), training(spark, sf_dir).select("row_id", "text")
+    model.save(path)
+    renamed = {"pred_years": "years_before", "pred_salary": "salary_before"}
+    before = model.predict(rows).withColumnsRenamed(renamed)
+    both = modeling.TextRegressor.load(spark, path).predict(before)
+    same = F.col("pred_years").eqNullSafe(F.col("years_before")) & F.col("pred_salary").eqNullSafe(F.col("salary_before"))
+    return both.select("row_id", same.alias("same"))
+
+
+@query("ev4_eval_fitted_model")
+def ev4_fitted(spark, sf_dir):
+    """The report on the fitted model's own predictions for the rows held out as test."""
+    test = training(spark, sf_dir).filter("split = 'test'")
+    return metrics.eval_report(fitted(spark, sf_dir).predict(test))
+
+
+@query("ml6_predict_sample")
+def ml6_sample(spark, sf_dir):
+    """Sample, predict, compare."""
+    drawn = sampling.sample_n(
+        training(spark, sf_dir).withColumn("h", sampling.order_hash("row_id", seed=42)), ["h", "row_id"], PREDICT_SAMPLE_SIZE)
+    return modeling.compare_predictions(fitted(spark, sf_dir).predict(drawn), "row_id")
 
 
 @query("ml5_predict_batch")

@@ -65,9 +65,11 @@ def sp5(spark, sf_dir):
     return union_append(rows, rows.filter("split <> 'train'").drop("split"))
 
 
-@query("sp6_sample_n")
+@query("sp6_sample_n", i.with_views(
+    f"SELECT row_id, pred_years, pred_salary FROM placed WHERE place <= {PREDICT_SAMPLE_SIZE}", **HASHED))
 def sp6(spark, sf_dir):
-    return sampling.sample_n(hashed(spark, sf_dir), ORDER, PREDICT_SAMPLE_SIZE)
+    drawn = sampling.sample_n(portable(spark, sf_dir), ORDER, PREDICT_SAMPLE_SIZE)
+    return drawn.select("row_id", "pred_years", "pred_salary")
 
 
 @query("sp7_sample_without_replacement", i.with_views(

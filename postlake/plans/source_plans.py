@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlake.functions import quality
-from postlake.operators import normalize
+from postlake.lists import SHUFFLE_SEED
+from postlake.operators import curate, normalize
+from postlake.operators.sampling import arithmetic_hash
 from postlake.plans import inputs as i
+from postlake.plans.curation_plans import gold_english
 from postlake.plans.registry import query
 from postlake.plans.target_plans import VIEWS, described_sql, logged
 from postlake.schemas import EXAMPLE, RAW_POSTING, TARGETS, conform
@@ -65,6 +68,19 @@ def sc4(spark, sf_dir):
     return spark.read.schema(EXAMPLE).parquet(path)
 
 
+@query("curate_split_append", i.curated(f"""
+SELECT split, text, expected_salary, expected_experience_years FROM training
+UNION ALL SELECT CASE WHEN place <= 40 THEN 'train' ELSE 'val' END, text, expected_salary, expected_experience_years
+FROM (SELECT *, row_number() OVER (ORDER BY (job_id * 7919 + {SHUFFLE_SEED}) % 10007, job_id) AS place FROM examples)
+WHERE place <= 50""", training=i.TRAINING))
+def curate_job(spark, sf_dir):
+    folder = _stored_splits(spark, sf_dir)
+    curate.curate_split_append(
+        i.view(spark, sf_dir, i.POSTINGS), gold_english,
+        lambda df: df.withColumn("h", arithmetic_hash("job_id", SHUFFLE_SEED)), ["h", "job_id"], folder, 40, 10)
+    return tables.scan_examples(spark, folder)
+
+
 @query("sc5_stats_json", i.with_views(f"""
 SELECT '{TARGETS[0]}' AS target, round(my, 6) AS mean, round(sy, 6) AS std FROM stats
 UNION ALL SELECT '{TARGETS[1]}', round(ms, 6), round(ss, 6) FROM stats""", **VIEWS))

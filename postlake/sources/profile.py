@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlake.operators.sampling import nth_key
 from postlake.schemas import TARGETS
 
 QUARTILES = [("p25", 0.25), ("p50", 0.50), ("p75", 0.75)]
-PERCENTILE_ROWS = 1_000_000
+#: Steps of the grid of one round, and values sorted at most.
+GRID, SORT_VALUES = 500, 20_000
 
 
 def row_counts(df: DataFrame, complete: Column) -> DataFrame:
@@ -26,48 +26,85 @@ def columns_and_types(df: DataFrame) -> list[tuple[str, str]]:
 def describe(df: DataFrame, columns: list[str] = TARGETS) -> DataFrame:
     """SC7: count, mean, std, min, quartiles and max per column, to 3 places.
 
-    Quartiles interpolate between neighbours. The built-in exact percentile keeps
-    every distinct value in memory, so it serves tables of known size only; larger
-    ones get the same order statistics from `nth_key`.
+    NULL and NaN are left out; infinities are ordinary values, the least and greatest.
+    Quartiles interpolate between neighbours, where they fall between two that differ. All columns and quartiles are found together, see `order_statistics`.
     """
-    values = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
+    values = df.select(clean)
     basics = [
         f(c).alias(f"{c}_{name}") for c in columns for name, f in
         [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
     ]
-    if values.count() <= PERCENTILE_ROWS:
-        shares = F.array(*[F.lit(q) for _, q in QUARTILES])
-        listed = values.agg(*basics, *[F.percentile(c, shares).alias(f"{c}_q") for c in columns])
-        wide = listed.withColumns({
-            f"{c}_{p}": F.get(f"{c}_q", F.lit(n)) for c in columns for n, (p, _) in enumerate(QUARTILES)
-        })
-    else:
-        found = {f"{c}_{p}": F.lit(interpolated(values, c, q))
-                 for c in columns for p, q in QUARTILES}
-        wide = values.agg(*basics).withColumns(found)
+    found = values.agg(*basics).first().asDict()
+    wanted = []
+    for c in columns:
+        for _, share in QUARTILES:
+            at = (found[f"{c}_count"] - 1) * share
+            wanted += [(c, int(at) + 1), (c, min(int(at) + 2, found[f"{c}_count"]))]
+    numbers = iter(order_statistics(values, wanted))
+    for c in columns:
+        for name, share in QUARTILES:
+            below, above, part = next(numbers), next(numbers), (found[f"{c}_count"] - 1) * share % 1
+            found[f"{c}_{name}"] = below if below == above or part == 0 else below + (above - below) * part
     names = ["mean", "std", "min", *[p for p, _ in QUARTILES], "max"]
     rows = [
         F.struct(
-            F.lit(c).alias("name"), F.col(f"{c}_count").alias("count"),
-            *[F.round(F.col(f"{c}_{n}"), 3).alias(n) for n in names],
+            F.lit(c).alias("name"), F.lit(found[f"{c}_count"]).cast("bigint").alias("count"),
+            *[F.round(F.lit(found[f"{c}_{n}"]).cast("double"), 3).alias(n) for n in names],
         ) for c in columns
     ]
-    return wide.select(F.inline(F.array(*rows)))
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
-def interpolated(df: DataFrame, column: str, share: float) -> float | None:
-    """One quantile by linear interpolation, without sorting the table."""
-    present = df.filter(F.col(column).isNotNull()).select(column)
-    size = present.count()
-    if size == 0:
-        return None
-    at = (size - 1) * share
-    below = _nth_value(present, column, int(at) + 1)
-    above = _nth_value(present, column, min(int(at) + 2, size))
-    return below + (above - below) * (at - int(at))
+def order_statistics(values: DataFrame, wanted: list[tuple[str, int]]) -> list[float | None]:
+    """The wanted (column, n-th smallest value)s, exact; None past the end.
 
-
-def _nth_value(df: DataFrame, column: str, n: int) -> float:
-    # Values repeat, so numbers of equal values take part in the order.
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return nth_key(counted, [column], n, weight="n")[0]
+    A round takes an approximate grid of every target's candidates, whose error is well
+    below the grid's step, and counts what lies below and between the two grid values
+    around the target. A round leaves about a two-hundredth of the candidates, whatever
+    the size of the table; at most SORT_VALUES are sorted.
+    """
+    answers: list[float | None] = [None] * len(wanted)
+    ranks = {t: n for t, (_, n) in enumerate(wanted)}
+    cells = [F.struct(F.lit(t).alias("t"), F.col(c).alias("v")) for t, (c, _) in enumerate(wanted)]
+    rows = values.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
+    shares = [F.lit(k / GRID) for k in range(GRID + 1)]
+    while ranks:
+        rows = rows.filter(F.col("t").isin(list(ranks)))
+        grids = {r["t"]: r for r in rows.groupBy("t").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+            F.percentile_approx("v", F.array(*shares), GRID * 10).alias("grid")).collect()}
+        bounds = {}
+        for t in list(ranks):
+            grid = grids.get(t)
+            if grid is None or not 1 <= ranks[t] <= grid["n"]:
+                del ranks[t]
+                continue
+            k = int((ranks[t] - 1) / grid["n"] * GRID)
+            low = grid["grid"][k - 2] if k >= 2 else grid["low"]
+            high = grid["grid"][k + 3] if k + 3 <= GRID else grid["high"]
+            bounds[t] = (low, high)
+        if not bounds:
+            break
+        low, high = (F.element_at(F.create_map(*[
+            F.lit(x) for t, pair in bounds.items() for x in (t, float(pair[end]))]), F.col("t")) for end in (0, 1))
+        rows = rows.filter(F.col("t").isin(list(bounds)))
+        between = (F.col("v") > low) & (F.col("v") < high)
+        counts = {r["t"]: r for r in rows.groupBy("t").agg(
+            F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v") == low).alias("least"),
+            F.count_if(between).alias("inside")).collect()}
+        # Values equal to a grid value are settled here, so ties cannot keep a round from shrinking.
+        for t, (least, most) in bounds.items():
+            ranks[t] -= counts[t]["below"] + counts[t]["least"]
+            if ranks[t] <= 0 or ranks[t] > counts[t]["inside"]:
+                answers[t] = least if ranks[t] <= 0 else most
+                del ranks[t]
+        rows = rows.filter(between)
+        small = {t: n for t, n in ranks.items() if counts[t]["inside"] <= SORT_VALUES}
+        if small:
+            at = F.element_at(F.create_map(*[F.lit(x) for pair in small.items() for x in pair]), F.col("t"))
+            listed = rows.filter(F.col("t").isin(list(small))).groupBy("t").agg(F.sort_array(F.collect_list("v")).alias("v"))
+            for r in listed.select("t", F.get("v", (at - 1).cast("int")).alias("v")).collect():
+                answers[r["t"]] = r["v"]
+                del ranks[r["t"]]
+    return answers

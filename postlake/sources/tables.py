@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -16,15 +16,30 @@ SPLITS = ["train", "val", "test"]
 def scan_postings(spark: SparkSession, folder: str) -> DataFrame:
     """SC1: every Parquet file of a folder; columns a file lacks read as NULL.
 
-    One footer tells the stored types, which are then cast: whole-number salaries
-    or a boolean `remote` are as good as the types of RAW_POSTING.
+    The stored types are cast: whole-number salaries or a boolean `remote` are as good
+    as the types of RAW_POSTING. Footers are merged by a job; only where files disagree
+    on a type are they looked at one by one, and read in groups of equal types.
     """
     try:
-        stored = {f.name: f for f in spark.read.parquet(folder).schema}
+        spark.read.parquet(folder)
     except AnalysisException as failure:
         raise FileNotFoundError(f"no parquet files in {folder}") from failure
-    schema = StructType([stored.get(f.name, f) for f in RAW_POSTING])
-    return conform(spark.read.schema(schema).parquet(folder), RAW_POSTING)
+    try:
+        return _typed(spark, [folder], spark.read.option("mergeSchema", "true").parquet(folder).schema)
+    except SparkException:
+        files = spark.read.schema(RAW_POSTING).parquet(folder).inputFiles()
+    groups: dict[str, tuple[StructType, list[str]]] = {}
+    for file in files:
+        schema = spark.read.parquet(file).schema
+        groups.setdefault(schema.json(), (schema, []))[1].append(file)
+    return reduce(DataFrame.unionByName, [_typed(spark, paths, schema) for schema, paths in groups.values()])
+
+
+def _typed(spark: SparkSession, paths: list[str], stored: StructType) -> DataFrame:
+    """Files that agree on their types, cast to RAW_POSTING."""
+    known = {f.name: f for f in stored}
+    schema = StructType([known.get(f.name, f) for f in RAW_POSTING])
+    return conform(spark.read.schema(schema).parquet(*paths), RAW_POSTING)
 
 
 def with_row_key(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,13 +46,17 @@ def stream_fill_labels(
     """ST2: label in resumable chunks.
 
     A chunk is one folder named by its batch id, replaced when the batch is run
-    again, so a restart neither loses nor repeats rows.
+    again, so a restart neither loses nor repeats rows. Its replies are written down
+    first, under `_replies`; a batch that is run again reads them in place of calling.
     """
     def label_chunk(chunk: DataFrame, batch_id: int) -> None:
-        draw = labels.model_draw(key, seed=seed)
-        asked = labels.ask(chunk, draw, make_responder, wait_seconds=wait_seconds)
-        labelled = labels.label_with_replies(asked, F.col("response.reply"))
-        kept = labels.drop_failed(labelled).select(*chunk.columns)
+        path = f"{out}/_replies/{batch_id}"
+        try:
+            replies = chunk.sparkSession.read.parquet(path)
+        except AnalysisException:  # not there, or without a finished file
+            draw = labels.model_draw(key, seed=seed)
+            replies = labels.ask(chunk, key, draw, make_responder, wait_seconds=wait_seconds, path=path)
+        kept = labels.drop_failed(labels.with_stored_replies(chunk, key, replies)).select(*chunk.columns)
         kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
@@ -63,9 +68,10 @@ def stream_fill_labels(
 def stream_funnel(
     postings: DataFrame, english: English, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """ST3: running counts per skip reason; `out` always holds the latest totals."""
+    """ST3: running counts per skip reason. Every batch writes its totals to a folder of
+    its own; `latest_totals` reads the newest one, so totals never vanish meanwhile."""
     def keep_latest(totals: DataFrame, batch_id: int) -> None:
-        totals.coalesce(1).write.mode("overwrite").parquet(out)
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     reasons = with_skip_reason(postings, english)
     counts = funnel(reasons)
@@ -73,3 +79,10 @@ def stream_funnel(
         counts.writeStream.foreachBatch(keep_latest).outputMode("complete")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """ST3: the totals of the newest batch; a handful of rows per batch are stored."""
+    totals = spark.read.parquet(out)
+    newest = totals.agg(F.max("batch")).first()[0]
+    return totals.filter(F.col("batch") == newest).drop("batch")

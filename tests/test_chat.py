@@ -125,6 +125,8 @@ def test_bodies(spark):
     df = spark.createDataFrame(rows, "request_id long, provider string, body string")
     found = rs.response_text(df).orderBy("request_id").collect()
     assert [(r["text"], r["error"]) for r in found] == list(bodies.values())
+    failed = {r["request_id"]: r["error"] for r in rs.response_tool_calls(df).collect()}
+    assert failed == {2: "Error: null", 7: "Error parsing response"}
     joined = rs.response_text(df, all_blocks=True).filter("request_id = 3").first()
     assert joined["text"] == "ab"
 
@@ -198,20 +200,42 @@ def test_block_calls_follow_the_open_block(spark):
     assert found == {1: ("a2", "f2", '{"z":3}'), 2: ("b", "g", '{"y":2}'), 3: ("c", "h", "{}")}
 
 
-@pytest.mark.parametrize("part_lines", [3, 2])
-def test_long_calls_come_in_parts(spark, part_lines):
-    text = json.dumps({"x": list(range(30))})
+@pytest.mark.parametrize("part_lines", [1 << 18, 4, 3, 2, 1])
+def test_calls_do_not_depend_on_parts(spark, part_lines):
+    text = json.dumps({"x": list(range(30))}, separators=(",", ":"))
     pieces = [text[n:n + 5] for n in range(0, len(text), 5)]
-    blocks = ['data: {"type":"content_block_start","index":4,"content_block":{"type":"tool_use","id":"a","name":"f"}}'] + [
-        "data: " + json.dumps({"type": "content_block_delta", "delta": {"type": "input_json_delta", "partial_json": p}})
-        for p in pieces]
-    found = st.stream_tool_calls_blocks(lines_of(spark, {1: blocks}), part_lines)
-    assert found.count() > 5
-    assert parts_joined(found, "request_id", "block_index", value="arguments") == {(1, 4): text}
-    deltas = ["data: " + json.dumps({"choices": [{"delta": {"tool_calls": [{"index": 4, "function": {"arguments": p}}]}}]})
-              for p in pieces]
-    found = st.stream_tool_calls_delta(lines_of(spark, {1: deltas}), part_lines)
-    assert parts_joined(found, "request_id", "call_index", value="arguments") == {(1, 4): text}
+
+    def start(index, kind="tool_use", **more):
+        return "data: " + json.dumps({"type": "content_block_start", "index": index, "content_block": {"type": kind, **more}})
+
+    def json_piece(p):
+        return "data: " + json.dumps({"type": "content_block_delta", "delta": {"type": "input_json_delta", "partial_json": p}})
+
+    blocks = [json_piece("lost"), start(9, "text"), json_piece("lost"), start(4, id="old", name="old"), json_piece('{"old":1}'),
+              start(5, id="c", name="bad"), json_piece('{"x":'), json_piece("1, bad }"), start(4, id="a", name="f"),
+              *map(json_piece, pieces), 'data: {"type":"message_stop"}', json_piece("late")]
+    found = st.stream_tool_calls_blocks(lines_of(spark, {1: blocks}), part_lines).collect()
+    assert {(r["block_index"], r["id"], r["name"], r["arguments"]) for r in found} == {
+        (4, "a", "f", text), (5, "c", "bad", "{}")}
+
+    def delta(**call):
+        return "data: " + json.dumps({"choices": [{"delta": {"tool_calls": [call]}}]})
+
+    deltas = [delta(index=4, id="a", function={"name": "f"}), *[delta(index=4, function={"arguments": p}) for p in pieces],
+              delta(index=4, id="z"), delta(index=1, function={"arguments": '{"x":'}), delta(index=1, function={"arguments": "1, bad }"}),
+              "data: [DONE]", delta(index=4, id="late")]
+    found = st.stream_tool_calls_delta(lines_of(spark, {1: deltas}), part_lines).collect()
+    assert {(r["call_index"], r["id"], r["name"], r["arguments"]) for r in found} == {(4, "z", "f", text), (1, "", "", "{}")}
+
+
+def test_sparse_and_repeated_turns(spark):
+    rows = [(1, 5, "user", "a"), (1, 5_000_000, "user", "b"), (2, 0, "system", "s"), (2, 7, "assistant", "x"), (2, 7, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = cr.chat_requests(df, 2).orderBy("conv_id", "part_no").collect()
+    assert [(r["conv_id"], r["part_no"], r["n_parts"], r["is_last"]) for r in found] == [
+        (1, 0, 2, False), (1, 1, 2, True), (2, 0, 2, False), (2, 1, 2, True)]
+    assert [r["prompt"] for r in found] == [None, "b", None, "y"]
+    assert [[m["content"] for m in r["history"]] for r in found] == [["a"], [], ["s"], ["x"]]
 
 
 def test_calls_of_one_name_merge(spark):

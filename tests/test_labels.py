@@ -75,7 +75,15 @@ def test_only_429_is_tried_again():
     assert list(out["reply"]) == [None, None, "2", "3"]
 
 
-def test_a_raised_error_counts_for_the_batch():
+def test_a_raised_error_fails_its_request_alone():
+    def one_bad(batch):
+        if "3" in set(batch["prompt"]):
+            raise RuntimeError("bad request")
+        return [(p, None) for p in batch["prompt"]]
+    out = labels.retry_calls(one_bad, requests(9), attempts=3, wait_seconds=0)
+    assert list(out["reply"]) == [None if n == 3 else str(n) for n in range(9)]
+    assert out["error"][3] == "bad request" and list(out["attempts"]) == [1] * 9
+
     def responder(batch):
         raise RuntimeError("HTTP 429")
     out = labels.retry_calls(responder, requests(2), attempts=3, wait_seconds=0)

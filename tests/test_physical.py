@@ -35,11 +35,17 @@ def test_no_python_workers(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, sf_dir, name):
-    if name.startswith(("ml", "st", "lb13", "sc")):
+    if name.startswith(("ml", "st", "lb13", "sc", "op", "pipeline", "ev4_eval_fitted")):
         pytest.skip("runs jobs when built")
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan(QUERIES[name](spark, sf_dir)))
 
 
+@pytest.mark.parametrize("name", ["fl2_title_numeric_only", "fl4_skip_title_exact", "fl5_skip_title_substring", "fl6_should_skip_title"])
+def test_title_checks_read_no_text(spark, sf_dir, name):
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan(QUERIES[name](spark, sf_dir)))
+    assert read and not any("text" in r for r in read)
+
+
 def test_cleaning_is_evaluated_once(spark, sf_dir):
     # One ICU call and four replacements for each of title and description.
     text = plan(QUERIES["ge6_build_examples"](spark, sf_dir))

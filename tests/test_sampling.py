@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -93,11 +94,30 @@ def test_hash_split_is_stable(spark):
     assert 0.87 < share < 0.93
 
 
-def test_quartiles_without_sorting_everything(spark, monkeypatch):
-    values = [float(v) for v in [1, 2, 2, 2, 2, 9, 11, 40, 41, 5000]]
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+def test_quartiles_do_not_depend_on_size(spark, monkeypatch):
+    values = [float(v) for v in [1, 2, 2, 2, 2, 9, 11, 40, 41, 5000]] + [7.5] * 300
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (math.nan,)], "v double")
     expected = profile.describe(df, ["v"]).collect()
-    monkeypatch.setattr(profile, "PERCENTILE_ROWS", 0)
-    monkeypatch.setattr(sampling, "SORT_ROWS", 2)
-    monkeypatch.setattr(sampling, "HISTOGRAM", 4)
+    assert [expected[0][n] for n in ("count", "p25", "p50", "p75")] == [310, 7.5, 7.5, 7.5]
+    monkeypatch.setattr(profile, "SORT_VALUES", 1)
+    monkeypatch.setattr(profile, "GRID", 4)
     assert profile.describe(df, ["v"]).collect() == expected
+
+
+def test_infinities_are_values(spark):
+    df = spark.createDataFrame([(v,) for v in (-math.inf, 1.0, 2.0, 4.0, math.inf)], "v double")
+    row = profile.describe(df, ["v"]).first()
+    assert (row["min"], row["p25"], row["p50"], row["p75"], row["max"]) == (-math.inf, 1.0, 2.0, 4.0, math.inf)
+    none = profile.describe(df.limit(0), ["v"]).first()
+    assert none["count"] == 0 and none["p50"] is None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_statistics(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    values = [float(draw.choice([draw.randrange(50), draw.randrange(10 ** 6)])) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    monkeypatch.setattr(profile, "SORT_VALUES", 50)
+    wanted = [1, 2, 999, 1000, 2000, 3999, 4000, 4001]
+    found = profile.order_statistics(df, [("v", n) for n in wanted])
+    assert found == [sorted(values)[n - 1] if n <= 4000 else None for n in wanted]
