@@ -16,8 +16,13 @@ from postlake.sources.scratch import cut_lineage
 TRAIN_ROWS = 1_000_000
 #: A token is looked up as a whole and by its first bytes; the longest known form counts.
 PREFIXES = (6, 5, 4)
-#: Dirichlet pseudo-counts behind every form, and the least z-score of a form that counts.
-PRIOR, LEAST_Z, LEAST_TOXIC = 0.5, 4.0, 4
+#: Dirichlet pseudo-counts behind every form.
+PRIOR = 0.5
+#: A form counts from this log-odds on, above or below zero, and from this z-score. The first keeps
+#: out what large numbers make significant only, such as words of longer texts.
+LEAST_ODDS, LEAST_Z = 3.0, 4.0
+#: Toxic texts that a form is known from.
+LEAST_TOXIC = 4
 #: Score of a token without a known form.
 NEUTRAL = -0.05
 #: Segments from here up (in calibrated units) settle the scale of clean texts.
@@ -53,8 +58,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame
     Without a toxic or a clean example nothing is found and every score is the prior rate.
     Other columns are ignored; repeated rows give repeated results.
 
-    1. Documents with each token form are counted per class; log-odds with a Dirichlet
-       prior and their z-scores leave the forms that tell toxic texts apart.
+    1. Documents with each token form are counted per class; forms with high log-odds under a
+       Dirichlet prior, and a high z-score, tell the classes apart. Other known forms are
+       neutral, and keep a token from being judged by its first bytes.
     2. A linear scan finds every maximal segment of every text. Tokens without a
        known form cost a little, so segments end where toxic words thin out.
     3. The segments of clean texts give the rate and scale of the extreme-value law: in n
@@ -113,7 +119,7 @@ def token_forms(column: pa.Array):
 
 
 def _learn_forms(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted form hashes and their log-odds."""
+    """Sorted form hashes and their log-odds, 0 for neutral ones."""
     totals = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -151,8 +157,7 @@ def _learn_forms(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
     a, b = PRIOR * 2 * toxic / (toxic + clean), PRIOR * 2 * clean / (toxic + clean)
     odds = np.log((in_toxic + a) / (toxic - in_toxic + PRIOR)) - np.log((in_clean + b) / (clean - in_clean + PRIOR))
     z = odds / np.sqrt(1 / (in_toxic + a) + 1 / (in_clean + b))
-    kept = np.abs(z) >= LEAST_Z
-    return forms[kept], odds[kept]
+    return forms, np.where((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS), odds, 0.0)
 
 
 def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +186,7 @@ def find_segments(docs: DataFrame, forms: np.ndarray, log_odds: np.ndarray) -> D
             token = np.flatnonzero(known.any(axis=1))
             # The first known form is the most specific one.
             score = odds[places[token, known[token].argmax(axis=1)]] if len(token) else np.zeros(0)
+            token, score = token[score != 0], score[score != 0]
             cuts = np.searchsorted(token, first)
             found = []
             for row in range(batch.num_rows):
