@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.ids import within
-from postlake.llm.words import Lookup, hash_ranges, lower_ascii, ngrams, slices, split_tokens, text_bytes
+from postlake.llm.words import Lookup, hash_ranges, lower_ascii, map_texts, ngrams, slices, split_tokens, text_bytes
 from postlake.sources.scratch import cut_lineage
 
 #: Tokens of a seed; of every SPAN seeds in a row, an item keeps the rarest.
@@ -153,7 +153,7 @@ def _search(docs: DataFrame, items: _Items, least: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
     # At most one row per seed of the block.
-    counted = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_texts(docs, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(seeds), np.int64)
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     items.keep_rarest(seeds, counts)
@@ -173,7 +173,7 @@ def _search(docs: DataFrame, items: _Items, least: float) -> DataFrame:
                     pa.array(found["similarity"]), pa.array(found["start"]), pa.array(found["end"])],
                     names=["doc_id", "item_id", "similarity", "start", "end"])
 
-    return docs.mapInArrow(align, FOUND)
+    return map_texts(docs, align, FOUND)
 
 
 def _aligned(block: SimpleNamespace, tokens, first, slots, rows, at, least: float) -> dict[str, np.ndarray]:

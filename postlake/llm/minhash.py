@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.llm.graph import components
 from postlake.llm.ids import within
-from postlake.llm.words import distinct_sets, mix, slices, text_bytes, word_hashes
+from postlake.llm.words import distinct_sets, map_texts, mix, slices, text_bytes, word_hashes
 from postlake.sources.scratch import cut_lineage
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     threshold shares a band with probability 1 - (1 - s^4)^20, above 0.9999995 at 0.85.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut_lineage(docs.mapInArrow(_sketcher(shingle), SKETCH), "sketches")
+    sketches = cut_lineage(map_texts(docs, _sketcher(shingle), SKETCH), "sketches")
     classes = cut_lineage(
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
             F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
@@ -241,7 +241,7 @@ def _across(docs: DataFrame, open_: DataFrame, percent: int, shingle: int) -> Da
                     pa.array(sizes[1]).take(rows), pa.array(np.concatenate(elements).view(np.int64))],
                     names=["rep", "family", "size", "away", "element"])
 
-    rows = both.mapInArrow(differ, "rep long, family long, size long, away long, element long")
+    rows = map_texts(both, differ, "rep long, family long, size long, away long, element long")
     rows = cut_lineage(rows.join(within(open_.select("rep", "component")), "rep"), "differences")
     place = ["family", "element"]
     common = rows.groupBy(*place).agg(
@@ -289,4 +289,4 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> D
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a").take(pa.array(rows)), part.column("b").take(pa.array(rows))], names=["a", "b"])
 
-    return cut_lineage(both.mapInArrow(compare, "a long, b long").distinct(), "links")
+    return cut_lineage(map_texts(both, compare, "a long, b long").distinct(), "links")

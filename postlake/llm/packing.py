@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.transducer import (
     DIGIT, LETTER, OTHER, SPACE, SPACES, byte_names, classes_of, code_points, contractions, point_offsets, utf8_of)
-from postlake.llm.words import hash_ranges, runs, slices, text_bytes, worker_cache
+from postlake.llm.words import hash_ranges, map_texts, runs, slices, text_bytes, worker_cache
 from postlake.sources.scratch import cut_lineage
 
 #: The id that ends a document.
 END_ID = 1
 #: Known pretokens in one worker before they are dropped.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 #: Fixed value: the pretoken pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = frozenset(map(chr, SPACES))
@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = 2048) -> DataFr
 
     def cut(batches):
         encoder = encoder_of(vocabulary)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, offsets = encoder.encode(*text_bytes(batch.column("text")))
             rows, starts, lengths, sums = [], [], [], []
             sizes = np.diff(offsets) + 1
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = 2048) -> DataFr
                 pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array(sizes[rows].astype(np.int64))],
                 names=["doc_id", "doc_no", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.mapInArrow(cut, PIECES)
+    return map_texts(docs, cut, PIECES)
 
 
 def _cuts(size: int, window: int) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm.words import hash_ranges, mix, slices, split_words, text_bytes
+from postlake.llm.words import hash_ranges, map_texts, mix, slices, split_words, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 #: Shortest repeat that counts, in words. A power of two: it is one level of the doubling.
@@ -37,14 +37,14 @@ def measure_repetition(docs: DataFrame, least_repeat: int = LEAST_REPEAT) -> Dat
         raise ValueError("least_repeat must be a power of two, 4 or more")
 
     def measure(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             counts, spans = _measure(*text_bytes(batch.column("text")), least_repeat)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in counts.values()), spans],
                 names=["doc_id", *counts, "repeat_spans"])
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
+    return map_texts(docs, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
 
 
 def with_verdict(measured: DataFrame, most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlake.llm.words import lower_ascii, runs, slices, text_bytes
+from postlake.llm.words import lower_ascii, map_texts, runs, slices, text_bytes
 
 #: The base kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -48,7 +48,7 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _span_array(found)], names=["doc_id", "spans"])
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return map_texts(docs, scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -80,7 +80,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", allow: tuple[str, ..
                 columns[length_at] = pa.array(lengths, batch.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return map_texts(docs, redact, docs.schema)
 
 
 def span_text(spans: Column) -> Column:

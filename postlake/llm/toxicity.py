@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.ids import within
-from postlake.llm.words import Lookup, hash_ranges, lower_ascii, mix, slices, split_tokens, text_bytes
+from postlake.llm.words import Lookup, hash_ranges, lower_ascii, map_texts, mix, slices, split_tokens, text_bytes
 from postlake.sources.scratch import cut_lineage
 
 #: At most so many labelled texts are learned from, those with the least id hashes.
@@ -146,7 +146,7 @@ def _learn_forms(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(form.view(np.int64)), pa.array(n)], names=["form", "n"])
 
         texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi")
-        return texts.mapInArrow(count, "form long, n long").groupBy("form").agg(F.sum("n").alias("n"))
+        return map_texts(texts, count, "form long, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
     seen = _arrays(counted(1, None).where(F.col("n") >= LEAST_TOXIC))
     also = _arrays(counted(0, seen[0]))
@@ -197,7 +197,7 @@ def find_segments(docs: DataFrame, forms: np.ndarray, log_odds: np.ndarray) -> D
                     [[{"start": s, "end": e, "score": v} for s, e, v in own] for own in found], _SEGMENT)],
                 names=["doc_id", "n_tokens", "raw"])
 
-    return docs.mapInArrow(find, f"doc_id long, n_tokens long, raw {SEGMENTS}")
+    return map_texts(docs, find, f"doc_id long, n_tokens long, raw {SEGMENTS}")
 
 
 def maximal_segments(at: list[int], scores: list[float], neutral: float = NEUTRAL) -> list[tuple[int, int, float]]:

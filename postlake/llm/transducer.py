@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm.words import hash_ranges, runs, slices, text_bytes, worker_cache
+from postlake.llm.words import hash_ranges, map_texts, runs, slices, text_bytes, worker_cache
 
 CHUNK = 64
 LAST = 256
 #: Transitions kept in one worker before its table starts afresh.
-MOST_TRANSITIONS = 400_000
+MOST_TRANSITIONS = 300_000
 #: Characters that the tokenizer's patterns take for white space, a fixed list.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
@@ -319,7 +319,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """
     def count(batches):
         machine = compiled(vocabulary)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             data, offsets = text_bytes(batch.column("text"))
             tokens = _count(machine, data, offsets)
             yield pa.RecordBatch.from_arrays(
@@ -328,7 +328,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(docs, count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _count(machine: Transducer, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

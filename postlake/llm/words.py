@@ -7,14 +7,17 @@ a chunk are flat: `first[d]:first[d+1]` are the words of its document d.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 STEP = 0xD6E8FEB86659FD93
 
@@ -31,6 +34,30 @@ def worker_cache() -> dict:
     return holder.entries
 
 
+def map_texts(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """`df.mapInArrow` with batches of at most BATCH_BYTES, unless the session sets its own bound.
+
+    By default a batch may hold 64 MB, in the JVM and in Python at a time for every task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, "67108864b") == "67108864b":
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def mapped(batches):
+        yield from fn(batches)
+        _release()
+
+    return df.mapInArrow(mapped, schema)
+
+
+def _release() -> None:
+    """Give freed memory back after a task: workers live on between stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library than glibc
+
+
 def slices(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` holds at most `limit` bytes, or one row."""
     for batch in batches:
