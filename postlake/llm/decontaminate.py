@@ -1,4 +1,4 @@
-"""Benchmark items inside training texts: rare n-gram seeds, then local alignment."""
+"""Benchmark items inside training texts: rare tokens that a copy must hold, then local alignment."""
 
 from __future__ import annotations
 
@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.ids import within
-from postlake.llm.words import Lookup, hash_ranges, lower_ascii, map_texts, ngrams, slices, split_tokens, text_bytes
+from postlake.llm.words import Lookup, hash_ranges, lower_ascii, map_texts, mix, slices, split_tokens, text_bytes
 from postlake.sources.scratch import cut_lineage
 
-#: Tokens of a seed; of every SPAN seeds in a row, an item keeps the rarest.
-SEED, SPAN = 3, 3
+#: Seeds of an item that a stretch of text must hold to be aligned; fewer where an item is short.
+HITS = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: A passage counts from this share of the item's perfect score.
 LEAST_SIMILARITY = 0.5
 #: Benchmark bytes that are held at once; more are searched for block by block.
 BLOCK_BYTES = 16 << 20
-#: Alignments computed side by side.
-LANES = 256
+#: Alignments computed side by side, and cells of a row of them at most (or one alignment).
+LANES, CELLS = 256, 1 << 20
 
 FOUND = "doc_id long, item_id long, similarity double, start long, end long"
 
@@ -33,15 +33,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SIMIL
     lower-cased runs of letters, digits and bytes beyond ASCII. Benchmark items are the
     query set, held in blocks of BLOCK_BYTES; every block reads all texts twice:
 
-    1. Every seed (run of three tokens) of the items is counted in the corpus. Of every SPAN
-       neighbouring seeds an item keeps the one with the lowest count, so a copy that
-       keeps a few tokens in a row is found, and common phrases are looked up only
-       where an item has nothing rarer.
-    2. Texts with a seed are aligned with its item around the place (Smith-Waterman; match 2,
-       mismatch -1, gap -1). A pair is returned if its best score reaches `least` of twice
-       the item's tokens. start and end are the passage's tokens in the text.
+    1. Every token of the items is counted in the corpus. A passage that reaches `least` matches at
+       least M = least * n of an item's n tokens, so of any n - M + k of them it matches k. An
+       item's seeds are its rarest tokens, as many as that leaves after those found nowhere.
+    2. Stretches of text with k seeds no farther apart than such a passage can be long are
+       aligned with the item (Smith-Waterman; match 2, mismatch -1, gap -1), unless even all
+       their tokens that the item holds could not make the score. A pair is returned if its
+       best score reaches `least` of twice the item's tokens. start and end are the
+       passage's tokens in the text.
 
-    Items of fewer than three tokens are one seed. NULL or empty texts and items match
+    No pair that reaches `least` is passed over, whatever its edits. NULL or empty texts and items match
     nothing, no rows give none. Repeated rows are reported once each. Rows with a NULL id
     are reported with it.
     """
@@ -62,40 +63,36 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SI
 
 
 class _Items:
-    """One block of items: tokens end to end, and its distinct seeds with their places."""
+    """One block of items: tokens end to end, and which of them are seeds."""
 
     def __init__(self, ids: list, column: pa.Array):
         self.ids = ids
         self.tokens, self.first = tokens_of(column)
+        self.item = np.repeat(np.arange(len(ids)), np.diff(self.first))
+        self.words = np.unique(self.tokens)
+
+    def choose_seeds(self, counts: np.ndarray, least: float) -> None:
+        """Keep each item's rarest tokens that occur, so many that a passage holds `hits` of them."""
         sizes = np.diff(self.first)
-        hashes, items, places = [], [], []
-        for size in range(1, SEED + 1):
-            grams, at, offsets = ngrams(self.tokens, self.first, size)
-            item = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            own = sizes[item] >= SEED if size == SEED else sizes[item] == size
-            hashes.append(grams[own] ^ np.uint64(size))
-            items.append(item[own])
-            places.append(at[own] - self.first[item[own]])
-        self.hash, self.item = np.concatenate(hashes), np.concatenate(items)
-        self.place = np.concatenate(places)
-        self.sizes = sorted(set(np.minimum(sizes[sizes > 0], SEED).tolist()))
-
-    def keep_rarest(self, seeds: np.ndarray, counts: np.ndarray) -> None:
-        """Keep each item's rarest seed of every SPAN in a row; ties go to the earlier one."""
-        rare = counts[np.searchsorted(seeds, self.hash)]
-        order = np.lexsort((self.place, self.item))
-        self.hash, self.item, self.place, rare = (x[order] for x in (self.hash, self.item, self.place, rare))
-        kept = np.zeros(len(rare), bool)
-        bounds = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            for low in range(a, max(b - SPAN, a) + 1):
-                if low < b:
-                    kept[low + int(np.argmin(rare[low:min(low + SPAN, b)]))] = True
-        self.hash, self.item, self.place = self.hash[kept], self.item[kept], self.place[kept]
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
-        self.seeds, low = np.unique(self.hash, return_index=True)
-        self.low = np.append(low, len(self.hash))
+        place = np.searchsorted(self.words, self.tokens)
+        need = np.maximum(np.ceil(least * sizes - 1e-9), 1).astype(np.int64)
+        self.hits = np.minimum(need, HITS)
+        #: Tokens of text in a passage at most: n matches, and the edits that its score allows.
+        self.reach = np.floor(3 * sizes - 2 * least * sizes + 1e-9).astype(np.int64)
+        order = np.lexsort((counts[place], self.item))
+        order = order[counts[place[order]] > 0]
+        item = self.item[order]
+        alive = np.bincount(item, minlength=len(sizes))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(alive) - alive, alive)
+        kept = (rank < (alive - need + self.hits)[item]) & (alive >= need)[item]
+        seeds = np.unique(np.stack([place[order[kept]], item[kept]]), axis=1)
+        self.seed_item = seeds[1]
+        self.low = np.searchsorted(seeds[0], np.arange(len(self.words) + 1))
+        self.held = np.unique(_held_keys(self.tokens, self.item))
+
+
+def _held_keys(tokens: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(tokens + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,51 +119,34 @@ def _blocks(benchmark: DataFrame) -> Iterator[_Items]:
         yield _Items(ids, pa.array(texts, pa.large_string()))
 
 
-def _seed_hits(items_sizes: list[int], tokens: np.ndarray, first: np.ndarray, lookup: Lookup):
-    """(place in the seed table, row, token) of every seed in the rows."""
-    slots, rows, at = [], [], []
-    for size in items_sizes:
-        grams, where, offsets = ngrams(tokens, first, size)
-        slot = lookup.places(grams ^ np.uint64(size))
-        hit = np.flatnonzero(slot >= 0)
-        slots.append(slot[hit])
-        row = np.searchsorted(offsets, hit, side="right") - 1
-        rows.append(row)
-        at.append(where[hit] - first[row])
-    if not slots:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(slots), np.concatenate(rows), np.concatenate(at)
-
-
 def _search(docs: DataFrame, items: _Items, least: float) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    seeds = np.unique(items.hash)
-    held_seeds, sizes = context.broadcast(seeds), items.sizes
+    held_words = context.broadcast(items.words)
 
     def count(batches):
-        lookup = Lookup(held_seeds.value)
+        lookup = Lookup(held_words.value)
         total = np.zeros(len(lookup.table), np.int64)
         for batch in slices(batches, "text"):
-            slots, _, _ = _seed_hits(sizes, *tokens_of(batch.column("text")), lookup)
-            total += np.bincount(slots, minlength=len(total))
+            slots = lookup.places(tokens_of(batch.column("text"))[0])
+            total += np.bincount(slots[slots >= 0], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
-    # At most one row per seed of the block.
+    # At most one row per token of the block.
     counted = map_texts(docs, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(seeds), np.int64)
+    counts = np.zeros(len(items.words), np.int64)
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    items.keep_rarest(seeds, counts)
+    items.choose_seeds(counts, least)
     held = context.broadcast(vars(items))  # plain arrays: executors need no package to read them
 
     def align(batches):
         block = SimpleNamespace(**held.value)
-        lookup = Lookup(block.seeds)
+        lookup = Lookup(block.words)
         for batch in slices(batches, "text"):
             tokens, first = tokens_of(batch.column("text"))
-            slots, rows, at = _seed_hits(block.sizes, tokens, first, lookup)
-            if len(slots):
-                found = _aligned(block, tokens, first, slots, rows, at, least)
+            row, item, low, high = _stretches(block, first, lookup.places(tokens))
+            if len(row):
+                found = _aligned(block, tokens, first, row, item, low, high, least)
                 row = pa.array(found["row"])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(row), pa.array([block.ids[i] for i in found["item"]], pa.int64()),
@@ -176,40 +156,70 @@ def _search(docs: DataFrame, items: _Items, least: float) -> DataFrame:
     return map_texts(docs, align, FOUND)
 
 
-def _aligned(block: SimpleNamespace, tokens, first, slots, rows, at, least: float) -> dict[str, np.ndarray]:
-    """The best passage of every (row, item) that reaches the least similarity."""
-    # One candidate per seed hit and item place: the diagonal tells where the item would start.
+def _stretches(block: SimpleNamespace, first, slots):
+    """(row, item, low, high): token ranges in which every passage that could do lies whole."""
+    at = np.flatnonzero(slots >= 0)
+    slots = slots[at]
     many = block.low[slots + 1] - block.low[slots]
-    before = np.concatenate([[0], np.cumsum(many)])
-    entry = np.arange(before[-1]) + np.repeat(block.low[slots] - before[:-1], many)
-    row, item = np.repeat(rows, many), block.item[entry]
-    diagonal = np.repeat(at, many) - block.place[entry]
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal = row[order], item[order], diagonal[order]
-    length = np.diff(block.first)[item]
-    # Diagonals closer than the item is long belong to one window.
+    before = np.cumsum(many) - many
+    entry = np.arange(int(many.sum())) + np.repeat(block.low[slots] - before, many)
+    at, item = np.repeat(at, many), block.seed_item[entry]
+    order = np.argsort(item, kind="stable")
+    at, item = at[order], item[order]
+    row = np.searchsorted(first, at, side="right") - 1
+    reach = block.reach[item]
+    # The hit that completes this one's number of hits, if near enough.
+    last = np.arange(len(at)) + block.hits[item] - 1
+    inside = np.minimum(last, max(len(at) - 1, 0))
+    good = np.flatnonzero((last < len(at)) & (item[inside] == item) & (row[inside] == row) & (at[inside] - at < reach))
+    row, item, reach = row[good], item[good], reach[good]
+    low = np.maximum(at[inside[good]] - reach + 1, first[row])
+    high = np.minimum(at[good] + reach, first[row + 1])
+    # Overlapping ranges are joined, then cut into ranges of two reaches that overlap by one.
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > length[1:])
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] >= high[:-1])
     begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(row)) - 1
-    row, item, length = row[begins], item[begins], length[begins]
-    slack = length // 4 + SEED
-    low = np.maximum(diagonal[begins] - slack, 0) + first[row]
-    high = np.minimum(diagonal[ends] + length + slack + first[row], first[row + 1])
+    low, high = low[begins], high[np.append(begins[1:], len(row)) - 1] if len(row) else high
+    row, item, reach = row[begins], item[begins], reach[begins]
+    parts = np.maximum(-(-(high - low) // reach) - 1, 1)
+    part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    row, item, reach, low, high = (np.repeat(x, parts) for x in (row, item, reach, low, high))
+    low = low + part * reach
+    return row, item, low, np.minimum(low + 2 * reach, high)
+
+
+def _aligned(block: SimpleNamespace, tokens, first, row, item, low, high, least: float) -> dict[str, np.ndarray]:
+    """The best passage of every (row, item) that reaches the least similarity."""
+    length = np.diff(block.first)[item]
     score, start, end = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
     by = np.lexsort((high - low, length))
-    for lane in range(0, len(by), LANES):
-        some = by[lane:lane + LANES]
-        score[some], start[some], end[some] = smith_waterman(
-            block.tokens, block.first[item[some]], length[some], tokens, low[some], (high - low)[some])
+    done = 0
+    while done < len(by):
+        some = by[done:done + LANES]
+        some = some[:max(1, CELLS // int((high - low)[some].max()))]
+        done += len(some)
+        some = some[_most_score(block, tokens, item[some], low[some], (high - low)[some]) / (MATCH * length[some]) >= least]
+        if len(some):
+            score[some], start[some], end[some] = smith_waterman(
+                block.tokens, block.first[item[some]], length[some], tokens, low[some], (high - low)[some])
     similarity = score / (MATCH * length)
+    start, end = low - first[row] + start, low - first[row] + end
     order = np.lexsort((start, -similarity, item, row))
-    order = order[similarity[order] >= least]
+    order = order[(similarity[order] >= least) & (score[order] > 0)]
     r, i = row[order], item[order]
     best = order[np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])])] if len(order) else order
-    shift = low - first[row]
-    return {"row": row[best], "item": item[best], "similarity": similarity[best],
-            "start": (shift + start)[best], "end": (shift + end)[best]}
+    return {"row": row[best], "item": item[best], "similarity": similarity[best], "start": start[best], "end": end[best]}
+
+
+def _most_score(block: SimpleNamespace, tokens, item, low, size) -> np.ndarray:
+    """A bound on each range's score: its best run where all tokens that the item holds match."""
+    columns = np.arange(int(size.max()))
+    text = tokens[np.minimum(low[:, None] + columns, len(tokens) - 1)]
+    key = _held_keys(text, np.broadcast_to(item[:, None], text.shape))
+    held = block.held[np.minimum(np.searchsorted(block.held, key), len(block.held) - 1)] == key
+    total = np.cumsum(np.where(held & (columns < size[:, None]), MATCH, MISMATCH), axis=1)
+    before = np.minimum.accumulate(np.concatenate([np.zeros((len(low), 1), np.int64), total[:, :-1]], axis=1), axis=1)
+    return (total - before).max(axis=1)
 
 
 def smith_waterman(a, a_low, a_size, b, b_low, b_size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -64,3 +64,27 @@ def test_query_against_whole_passages(spark, sf_dir, documents):
     expected = {(d["doc_id"], i["item_id"]) for d in documents.collect() for i in items if i["text"] in d["text"]}
     found = {(r["doc_id"], r["item_id"]) for r in benchmark_decontamination(spark, sf_dir).collect()}
     assert expected and expected <= found
+
+
+def test_every_pair_against_the_full_table(spark, make_docs):
+    draw = random.Random(11)
+    items = [(n, _words(draw, draw.choice([3, 9, 15, 15, 25, 40]))) for n in range(12)]
+    docs = []
+    for n in range(160):
+        words, passage = _words(draw, 60), list(items[n % 12][1])
+        if n % 4 == 3:  # random edits: tokens replaced, left out and added
+            passage = [y for x in passage for y in ([x], [x], ["other"], [], [x, "more"])[draw.choice([0, 0, 0, 0, 1, 2, 2, 3, 4])]]
+        elif n % 4 < 2:
+            for at in range(n % 3, len(passage), 4 + n % 4):
+                passage[at] = f"edit{n}"
+        else:
+            passage = [y for x in passage for y in (x, "between")]
+        words[n % 50:n % 50] = passage
+        docs.append((n, words))
+    # Whole copies elsewhere make seeds that edits broke occur.
+    for whole in ([], [(1000 + i, w) for i, w in items]):
+        rows = docs + whole
+        expected = {(d, i): s / (2 * len(w)) for d, x in rows for i, w in items for s in [brute.smith_waterman(w, x)] if s >= len(w)}
+        found = find_leaks(make_docs([(d, " ".join(x)) for d, x in rows]), _items(spark, [(i, " ".join(w)) for i, w in items])).collect()
+        assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == expected
+        assert all(len({d for d, _ in expected if d < 1000 and d % 4 == k}) > 10 for k in range(4))
