@@ -11,8 +11,9 @@ from postlake.llm.words import hash_ranges, map_texts, mix, slices, split_words,
 SYMBOLS = b"#*$%&|<>"
 #: Shortest repeat that counts, in words. A power of two: it is one level of the doubling.
 LEAST_REPEAT = 8
-#: Largest share of words inside repeats, and longest repeat in words, of a kept text.
-MOST_COVERED, LONGEST = 0.5, 400
+#: Largest share of words inside repeats, and longest repeat as a share of the words and in words, of a
+#: kept text. A repeat of two copies covers twice its length, so its own limit is below half of the first.
+MOST_COVERED, LONGEST_SHARE, LONGEST = 0.3, 0.1, 400
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -47,10 +48,12 @@ def measure_repetition(docs: DataFrame, least_repeat: int = LEAST_REPEAT) -> Dat
     return map_texts(docs, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
 
 
-def with_verdict(measured: DataFrame, most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
+def with_verdict(measured: DataFrame, most_covered: float = MOST_COVERED, longest: int = LONGEST,
+                 longest_share: float = LONGEST_SHARE) -> DataFrame:
     """Add base_failed and kept: too short or repetitive by windows, else by the repeats."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    repeats = (F.col("covered_words") > most_covered * F.col("n_words")) | (F.col("longest_repeat") > longest)
+    repeats = (F.col("covered_words") > most_covered * F.col("n_words")) | (
+        F.col("longest_repeat") > F.least(F.lit(float(longest)), longest_share * F.col("n_words")))
     return measured.withColumn("base_failed", base).withColumn("kept", ~base & ~repeats)
 
 
