@@ -23,12 +23,13 @@ CANDIDATE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=
 #: Window length, and the least entropy in bits of a window by its widest character class.
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
-#: Runs that hold one of these, in either case, are known to be harmless.
+#: Words (letters and digits in a row) that hold one of these, in either case, are known to be harmless.
 ALLOW = ("example", "sample", "placeholder", "0123456789", "abcdefghij", "xxxxxxxx")
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _ASSIGN = re.compile(ASSIGN)
+_WORD = re.compile("[a-z0-9]+")
 
 
 def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -37,9 +38,10 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     `assign`, `access` and `hex` spans are the fixed patterns. `entropy` spans are added:
     in every longest run of key characters, a window of WINDOW characters slides along with
     incremental counts; windows whose Shannon entropy reaches the least of their class
-    and that mix digits with letters are joined. A run that holds an allow-list entry
-    gives no entropy span, nor does a stretch that touches a base span. Spans are in order
-    of start, then kind. NULL and empty texts give an empty list; repeated rows give
+    and that mix digits with letters are joined. Windows that touch a word with an
+    allow-list entry do not count, and base spans are taken out of the joined stretches:
+    what is left of at least a window's length is reported. Spans are in order of start,
+    then kind. NULL and empty texts give an empty list; repeated rows give
     repeated results; every other column is ignored.
     """
     def scan(batches):
@@ -161,12 +163,22 @@ def _spans(column: pa.Array, allow) -> list[list[tuple[str, int, int]]]:
         if not windows:
             continue
         base = int(np.count_nonzero((data[offsets[row]:start] & 0xC0) != 0x80))
+        known = sorted((s, e) for kind, s, e in found[row] if kind != "entropy")
         for a, b in windows:
-            if not any(s < base + b and base + a < e for kind, s, e in found[row] if kind != "entropy"):
-                found[row].append(("entropy", base + a, base + b))
+            found[row] += [("entropy", s, e) for s, e in _left(base + a, base + b, known)]
     return found
 
 
+def _left(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the known spans leave of a stretch, in pieces of at least a window."""
+    out = []
+    for s, e in [*known, (end, end)]:
+        if min(s, end) - start >= WINDOW:
+            out.append((start, min(s, end)))
+        start = max(start, e)
+    return out
+
+
 def _access(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """AKIA and all capitals and digits that follow, leftmost first, inside one row."""
     starts, ends = [], []
@@ -193,8 +205,14 @@ def _class_of(char: str) -> int:
 def _high_entropy(run: str, allow) -> list[tuple[int, int]]:
     """Joined windows of the run that look random."""
     lowered = run.lower()
-    if any(entry in lowered for entry in allow) or not any(c.isdigit() for c in run):
+    if not any(c.isdigit() for c in run):
         return []
+    harmless = [word.span() for word in _WORD.finditer(lowered) if any(entry in word[0] for entry in allow)]
+    if any(entry in lowered for entry in allow):
+        # Entries with other characters than letters and digits cover themselves.
+        harmless = sorted(harmless + [(k, k + len(entry)) for entry in allow if entry and not entry.isalnum()
+                                      for k in range(len(lowered)) if lowered.startswith(entry, k)])
+    passed = 0
     term = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
     counts: dict[str, int] = {}
     classes, digits, letters, total = [0, 0, 0], 0, 0, 0.0
@@ -214,6 +232,10 @@ def _high_entropy(run: str, allow) -> list[tuple[int, int]]:
         least = LEAST_BITS["base64" if classes[2] else "alnum" if classes[1] else "hex"]
         if digits >= 2 and letters >= 2 and math.log2(WINDOW) - total / WINDOW >= least:
             start = at + 1 - WINDOW
+            while passed < len(harmless) and harmless[passed][1] <= start:
+                passed += 1
+            if passed < len(harmless) and harmless[passed][0] <= at:
+                continue
             if out and start <= out[-1][1]:
                 out[-1] = (out[-1][0], at + 1)
             else:
