@@ -18,8 +18,10 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 HEX = b"0123456789abcdef"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-CANDIDATE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
+CANDIDATE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 
+#: Characters that end sentences and join groups: none at the ends of a run, and of no character class.
+JOINERS = b".-"
 #: Window length, and the least entropy in bits of a window by its widest character class.
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
@@ -36,7 +38,7 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """(doc_id, spans) for every row: kind, start and end in code points, end exclusive.
 
     `assign`, `access` and `hex` spans are the fixed patterns. `entropy` spans are added:
-    in every longest run of key characters, a window of WINDOW characters slides along with
+    in every longest run of key characters (with - and . inside), a window of WINDOW characters slides along with
     incremental counts; windows whose Shannon entropy reaches the least of their class
     and that mix digits with letters are joined. Windows that touch a word with an
     allow-list entry do not count, and base spans are taken out of the joined stretches:
@@ -156,7 +158,7 @@ def _spans(column: pa.Array, allow) -> list[list[tuple[str, int, int]]]:
     long = ends - starts >= HEX_LEAST
     place("hex", starts[long], ends[long])
 
-    starts, ends = runs(_member(CANDIDATE)[data], offsets)
+    starts, ends = _trimmed(data, *runs(_member(CANDIDATE)[data], offsets))
     long = ends - starts >= WINDOW
     for row, start, end in zip(row_of(starts[long]).tolist(), starts[long].tolist(), ends[long].tolist()):
         windows = _high_entropy(data[start:end].tobytes().decode("ascii"), allow)
@@ -169,6 +171,16 @@ def _spans(column: pa.Array, allow) -> list[list[tuple[str, int, int]]]:
     return found
 
 
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs without joiners at their ends."""
+    solid = np.flatnonzero(~_member(JOINERS)[data])
+    if not len(solid):
+        return starts[:0], ends[:0]
+    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    some = first <= last
+    return solid[first[some]], solid[last[some]] + 1
+
+
 def _left(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What the known spans leave of a stretch, in pieces of at least a window."""
     out = []
@@ -198,8 +210,8 @@ def _access(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _class_of(char: str) -> int:
-    """0 hexadecimal, 1 other letters and digits, 2 the rest."""
-    return 0 if char in "0123456789abcdefABCDEF" else 1 if char.isalnum() else 2
+    """0 hexadecimal and joiners, 1 other letters and digits, 2 the rest."""
+    return 0 if char in "0123456789abcdefABCDEF.-" else 1 if char.isalnum() else 2
 
 
 def _high_entropy(run: str, allow) -> list[tuple[int, int]]:
