@@ -11,7 +11,8 @@ from postlake.sources.scratch import cut_lineage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute links in a page: the host behind the scheme or behind //.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-4
+#: Rounds end early once no host moves by TOLERANCE of its own rank, however many hosts there are.
+DAMPING, ROUNDS, TOLERANCE = 0.85, 60, 1e-4
 #: A host is a seed if at least this share of its pages falls under rules of one verdict.
 SEED_SHARE = 0.5
 #: A host is blocked if its distrust exceeds its trust and this many times the mean share.
@@ -110,26 +111,28 @@ def host_ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
     edges = cut_lineage(both.join(degree, ["way", "a"]), "links")
     named = hosts.select(
         "host", F.explode(F.create_map(F.lit("trust"), "allowed", F.lit("distrust"), "blocked")).alias("way", "share"))
-    linked = edges.select("way", F.col("a").alias("host")).unionAll(edges.select("way", "b"))
-    nodes = named.unionByName(linked.withColumn("share", F.lit(0.0))).groupBy("way", "host").agg(
-        F.max("share").alias("share")).withColumn("share", F.when(F.col("share") >= SEED_SHARE, F.col("share")).otherwise(0.0))
+    linked = edges.select("way", F.col("a").alias("host"), F.lit(True).alias("sends")).unionAll(
+        edges.select("way", "b", F.lit(False)))
+    nodes = named.withColumn("sends", F.lit(False)).unionByName(linked.withColumn("share", F.lit(0.0))).groupBy("way", "host").agg(
+        F.max("share").alias("share"), F.max("sends").alias("sends")).withColumn("share", F.when(F.col("share") >= SEED_SHARE, F.col("share")).otherwise(0.0))
     totals = {r["way"]: r["s"] for r in nodes.groupBy("way").agg(F.sum("share").alias("s")).collect()}
     total = F.when(F.col("way") == "trust", totals.get("trust") or 0.0).otherwise(totals.get("distrust") or 0.0)
     seed = F.when(total > 0, F.col("share") / total).otherwise(0.0)
-    state = cut_lineage(nodes.select("way", "host", seed.alias("seed"), seed.alias("rank")), "ranks")
-    for _ in range(ROUNDS):
-        if edges.isEmpty():
-            break  # without links the seeds keep all rank
+    state = cut_lineage(nodes.select(
+        "way", "host", "sends", seed.alias("seed"), seed.alias("rank"), F.lit(0.0).alias("moved")), "ranks")
+    sent = F.sum(F.when(F.col("sends"), F.col("rank")).otherwise(0.0)).alias("s")
+    sums = {r["way"]: r["s"] for r in state.groupBy("way").agg(sent).collect()}
+    for _ in range(0 if edges.isEmpty() else ROUNDS):  # without links the seeds keep all rank
         given = state.select("way", F.col("host").alias("a"), "rank").join(edges, ["way", "a"]).groupBy(
             "way", F.col("b").alias("host")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        sums = {r["way"]: r["s"] for r in given.groupBy("way").agg(F.sum("got").alias("s")).collect()}
         # What seeds and hosts without links hold back returns to the seeds.
         passed = F.when(F.col("way") == "trust", sums.get("trust") or 0.0).otherwise(sums.get("distrust") or 0.0)
         rank = DAMPING * F.coalesce("got", F.lit(0.0)) + (1 - DAMPING * passed) * F.col("seed")
-        new = cut_lineage(state.join(given, ["way", "host"], "left").select(
-            "way", "host", "seed", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")), "ranks")
-        moved = new.agg(F.max("moved")).first()[0] or 0.0
-        state = new.drop("moved")
+        state = cut_lineage(state.join(given, ["way", "host"], "left").select(
+            "way", "host", "sends", "seed", rank.alias("rank"),
+            F.when(rank > 0, F.abs(rank - F.col("rank")) / rank).alias("moved")), "ranks")
+        ended = state.groupBy("way").agg(sent, F.max("moved").alias("moved")).collect()
+        sums, moved = {r["way"]: r["s"] for r in ended}, max((r["moved"] or 0.0 for r in ended), default=0.0)
         if moved < TOLERANCE:
             break
     found = state.groupBy("host").agg(

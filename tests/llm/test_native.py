@@ -9,7 +9,7 @@ from postlake.llm import plans
 from postlake.llm.licences import scan_licences, train
 from postlake.llm.plans import URL_RULES
 from postlake.llm.sharding import fill_table, place, write_shards
-from postlake.llm.urlfilter import Rule, judge_urls
+from postlake.llm.urlfilter import Rule, host_ranks, judge_urls
 
 
 def _pages(spark, rows):
@@ -72,6 +72,17 @@ def test_trust_follows_links_and_distrust_runs_back(spark):
     assert found["farm.f"]["verdict"] == "block" and found["near.b"]["verdict"] == "allow" and found["lone.g"]["verdict"] == "allow"
 
 
+def test_ranks_reach_as_far_among_many_seeds(spark):
+    # Each seed's share of the rank is below 1e-4; far3 lies three links from one of them.
+    chain = [("bad", "far1"), ("far1", "far2"), ("far2", "far3")]
+    hosts = spark.range(12_000).select(F.concat(F.lit("seed"), "id").alias("host"), F.lit(0.0).alias("allowed"), F.lit(1.0).alias("blocked"))
+    few = spark.createDataFrame([("bad", 0.0, 1.0)], hosts.schema)
+    links = spark.createDataFrame([(b, a) for a, b in chain], "src string, dst string")
+    found = {r["host"]: r["distrust"] for r in host_ranks(hosts.unionByName(few), links).collect()}
+    for near, far in (("bad", "far1"), ("far1", "far2"), ("far2", "far3")):
+        assert 0 < found[far] == pytest.approx(0.85 * found[near], rel=1e-3)
+
+
 def test_shard_table():
     shards = [f"s{n}" for n in range(7)]
     table = fill_table(shards, 997)
