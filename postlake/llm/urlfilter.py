@@ -13,8 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 #: Rounds end early once no host moves by TOLERANCE of its own rank, however many hosts there are.
 DAMPING, ROUNDS, TOLERANCE = 0.85, 60, 1e-4
-#: A host is a seed if at least this share of its pages falls under rules of one verdict.
-SEED_SHARE = 0.5
 #: A host is blocked if its distrust exceeds its trust and this many times the mean share.
 BLOCK_OVER_MEAN = 1.0
 #: Hosts sent to every executor at most; beyond it they are joined.
@@ -66,8 +64,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     trust, distrust.
 
     The longest fitting rule decides. Other pages get their host's verdict: trust is the
-    personalised PageRank of hosts whose pages rules allow, along links; distrust that
-    of hosts whose pages rules block, against links, so it reaches hosts that link to
+    personalised PageRank of hosts by the share of their pages that rules allow, along links; distrust that
+    of hosts by the share that rules block, against links, so it reaches hosts that link to
     bad ones. Hosts that neither reaches are allowed. Links of a host to itself do not
     count; a host without links gives its rank back to the seeds. NULL urls, and urls
     without ://, have an empty host and path and take no part in the graph. NULL or empty
@@ -114,7 +112,7 @@ def host_ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
     linked = edges.select("way", F.col("a").alias("host"), F.lit(True).alias("sends")).unionAll(
         edges.select("way", "b", F.lit(False)))
     nodes = named.withColumn("sends", F.lit(False)).unionByName(linked.withColumn("share", F.lit(0.0))).groupBy("way", "host").agg(
-        F.max("share").alias("share"), F.max("sends").alias("sends")).withColumn("share", F.when(F.col("share") >= SEED_SHARE, F.col("share")).otherwise(0.0))
+        F.max("share").alias("share"), F.max("sends").alias("sends"))
     totals = {r["way"]: r["s"] for r in nodes.groupBy("way").agg(F.sum("share").alias("s")).collect()}
     total = F.when(F.col("way") == "trust", totals.get("trust") or 0.0).otherwise(totals.get("distrust") or 0.0)
     seed = F.when(total > 0, F.col("share") / total).otherwise(0.0)

@@ -83,6 +83,15 @@ def test_ranks_reach_as_far_among_many_seeds(spark):
         assert 0 < found[far] == pytest.approx(0.85 * found[near], rel=1e-3)
 
 
+def test_every_share_of_ruled_pages_seeds(spark):
+    hosts = spark.createDataFrame(
+        [("a", 0.0, 0.3), ("b", 0.1, 0.1), ("c", 0.0, 0.0), ("d", 0.0, 0.0)], "host string, allowed double, blocked double")
+    found = {r["host"]: r for r in host_ranks(hosts, spark.createDataFrame([], "src string, dst string")).collect()}
+    assert {h: (r["trust"], r["distrust"]) for h, r in found.items()} == {
+        "a": (0.0, pytest.approx(0.75)), "b": (1.0, pytest.approx(0.25)), "c": (0.0, 0.0), "d": (0.0, 0.0)}
+    assert {h for h, r in found.items() if r["bad"]} == {"a"}
+
+
 def test_shard_table():
     shards = [f"s{n}" for n in range(7)]
     table = fill_table(shards, 997)
