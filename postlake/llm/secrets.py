@@ -230,7 +230,8 @@ def _high_entropy(run: str, allow) -> list[tuple[int, int]]:
     classes, digits, letters, total = [0, 0, 0], 0, 0, 0.0
     out: list[tuple[int, int]] = []
     for at, char in enumerate(run):
-        for other, step in ((char, 1), (run[at - WINDOW] if at >= WINDOW else None, -1)):
+        # The leaving character goes out before the new one comes in, so no count passes WINDOW.
+        for other, step in ((run[at - WINDOW] if at >= WINDOW else None, -1), (char, 1)):
             if other is None:
                 continue
             held = counts.get(other, 0)

@@ -141,3 +141,14 @@ def test_redaction_changes_secrets_only(make_docs):
     assert rows[0]["text"] == "é [SECRET] end" and rows[0]["n_chars"] == len("é [SECRET] end")
     assert rows[1]["text"] is None and rows[2]["text"] == "clean" and rows[2]["n_chars"] == 5
     assert rows[3]["text"] == "[SECRET] x" and rows[3]["extra"] == 1
+
+
+def test_runs_of_one_character(make_docs):
+    """Runs of 20, 21, 22 and 1,000 equal characters of every class, alone and beside a digit."""
+    texts = [f"{lead}{char * n}{tail}" for char in "0aZ=-._/+" for n in (20, 21, 22, 1000)
+             for lead, tail in (("", ""), ("price=1", ""), ("1", "2"))] + ["iVBORw0KGgoAAAA" + "A" * 40]
+    rows = scan_secrets(make_docs(texts)).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        # A run of one character holds no information: no window of it is reported.
+        assert all(kind != "entropy" for kind, _, _ in row["spans"]), texts[row["doc_id"]][:40]
