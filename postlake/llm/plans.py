@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.llm.decontaminate import find_leaks
+from postlake.llm.exactdedup import exact_duplicates
 from postlake.llm.licences import scan_licences
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.packing import pack
@@ -95,3 +96,19 @@ def packing(spark, sf_dir):
 def toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted", "n_tokens")
+
+
+@query("op11_exact_dedup", r"""
+    WITH t AS (
+        SELECT doc_id, length(coalesce(text, '')) AS n_points,
+               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+        FROM documents),
+    g AS (
+        SELECT doc_id, norm,
+               first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_points DESC, doc_id ASC NULLS LAST) AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size
+        FROM t)
+    SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
+    FROM g""")
+def exact_dedup(spark, sf_dir):
+    return exact_duplicates(table(spark, sf_dir, "documents"))
