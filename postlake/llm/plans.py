@@ -15,6 +15,7 @@ from postlake.llm.sharding import DIGITS, SHARDS, SLOTS, fill_table, place
 from postlake.llm.toxicity import score_toxicity
 from postlake.llm.transducer import count_tokens
 from postlake.llm.urlfilter import Rule, judge_urls
+from postlake.llm.whitening import whiten
 from postlake.plans.registry import query
 
 URL_RULES = [
@@ -112,3 +113,8 @@ def toxicity(spark, sf_dir):
     FROM g""")
 def exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
