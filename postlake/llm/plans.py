@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.llm.decontaminate import find_leaks
 from postlake.llm.exactdedup import exact_duplicates
+from postlake.llm.hardnegatives import hard_negatives
 from postlake.llm.licences import scan_licences
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.packing import pack
@@ -118,3 +119,31 @@ def exact_dedup(spark, sf_dir):
 @query("op13_embedding_whitening")
 def embedding_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query("op12_hard_negative_mining", """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+          AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+    a AS (SELECT vec_id AS anchor_id, label AS alabel, x AS ax FROM v WHERE vec_id % 100 = 0),
+    s AS (
+        SELECT a.anchor_id, a.alabel, v.vec_id, v.label,
+               CAST(list_sum(list_transform(range(len(v.x)), lambda i: a.ax[i + 1] * v.x[i + 1])) AS BIGINT) AS score
+        FROM a JOIN v ON len(v.x) = len(a.ax)),
+    p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n
+              FROM s WHERE label = alabel AND vec_id <> anchor_id)
+        WHERE n <= 5),
+    n AS (
+        SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id
+        WHERE s.label <> s.alabel AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM n WHERE rank <= 5""")
+def hard_negative_mining(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"))

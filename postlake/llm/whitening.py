@@ -104,7 +104,7 @@ def centred_products(fit: DataFrame, mean: np.ndarray, n: int) -> Callable:
                 column = batch.column(0)
                 if len(column) == 0:
                     continue
-                x = column.values.to_numpy(zero_copy_only=False).reshape(len(column), len(mean))
+                x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(mean))
                 centred = x.astype(np.float64) - mean
                 acc += centred.T @ (centred @ w)
                 squares += float(np.einsum("ij,ij->", centred, centred))
