@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -17,8 +20,9 @@ def scan_postings(spark: SparkSession, folder: str) -> DataFrame:
     """SC1: every Parquet file of a folder; columns a file lacks read as NULL.
 
     The stored types are cast: whole-number salaries or a boolean `remote` are as good
-    as the types of RAW_POSTING. Footers are merged by a job; only where files disagree
-    on a type are they looked at one by one, and read in groups of equal types.
+    as the types of RAW_POSTING. Footers are merged by Spark's own job; where files
+    disagree on a type, a footer table (file, schema) is built by one more job over all
+    files, and every group of files of one schema is read with its own types.
     """
     try:
         spark.read.parquet(folder)
@@ -26,13 +30,35 @@ def scan_postings(spark: SparkSession, folder: str) -> DataFrame:
         raise FileNotFoundError(f"no parquet files in {folder}") from failure
     try:
         return _typed(spark, [folder], spark.read.option("mergeSchema", "true").parquet(folder).schema)
-    except SparkException:
+    except (SparkException, Py4JJavaError):
         files = spark.read.schema(RAW_POSTING).parquet(folder).inputFiles()
-    groups: dict[str, tuple[StructType, list[str]]] = {}
-    for file in files:
-        schema = spark.read.parquet(file).schema
-        groups.setdefault(schema.json(), (schema, []))[1].append(file)
-    return reduce(DataFrame.unionByName, [_typed(spark, paths, schema) for schema, paths in groups.values()])
+    groups = footer_table(spark, files).groupBy("schema").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    parts = [_typed(spark, row["files"], StructType.fromJson(json.loads(row["schema"])))
+             for row in groups.orderBy("schema").collect()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def footer_table(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, schema (Spark's JSON form) of every Parquet file, read from footers by executors.
+
+    Each task opens only the footers of its files, by the file system their URI names.
+    """
+    def read(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        for frame in batches:
+            schemas = []
+            for uri in frame["file"]:
+                system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+                with system.open_input_file(path) as handle:
+                    schemas.append(from_arrow_schema(pq.read_schema(handle)).json())
+            yield frame.assign(schema=schemas)
+
+    listed = spark.createDataFrame([(f,) for f in files], "file string")
+    return listed.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInPandas(
+        read, "file string, schema string")
 
 
 def _typed(spark: SparkSession, paths: list[str], stored: StructType) -> DataFrame:

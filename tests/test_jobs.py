@@ -131,6 +131,23 @@ def test_scan_postings(spark, tmp_path):
         tables.scan_postings(spark, str(tmp_path / "empty"))
 
 
+def test_footer_table_groups_many_files(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    kinds = [("long", True), ("double", 1), ("int", None)]
+    for n in range(9):
+        kind, remote = kinds[n % 3]
+        remote_type = "boolean" if remote is True else "int"
+        salary = n if kind != "double" else n + 0.5
+        spark.createDataFrame([(f"t{n}", salary, remote)], f"job_title string, min_annual_salary_usd {kind}, remote {remote_type}") \
+            .coalesce(1).write.mode("append").parquet(folder)
+    files = spark.read.parquet(folder).inputFiles()
+    footers = tables.footer_table(spark, files).collect()
+    assert len(footers) == 9 and len({r["schema"] for r in footers}) == 3
+    got = {(r["job_title"], r["min_annual_salary_usd"], r["remote"]) for r in tables.scan_postings(spark, folder).collect()}
+    want = {(f"t{n}", float(n if n % 3 != 1 else n + 0.5), (1 if n % 3 in (0, 1) else None)) for n in range(9)}
+    assert got == want
+
+
 def test_append_checks_columns_and_leaves_test_alone(spark, tmp_path):
     for split in tables.SPLITS:
         df = conform(spark.createDataFrame([(split, 1, 2)], "text string, expected_salary int, expected_experience_years int"), EXAMPLE)
