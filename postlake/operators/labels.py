@@ -26,6 +26,7 @@ from postlake.lists import (
     PROVIDER_MODELS,
     RETRY_SECONDS,
 )
+from postlake.operators.ledger import ask_in_rounds, request_hash
 from postlake.sources.scratch import cut_lineage
 
 Responder = Callable[[pd.DataFrame], list[tuple[str | None, str | None]]]
@@ -144,6 +145,32 @@ def call_responder(
     return called.asNondeterministic()(request)
 
 
+def respond_in_rounds(
+    work: DataFrame,
+    key: str,
+    draw: Column,
+    make_responder: Callable[[], Responder],
+    attempts: int = LABEL_ATTEMPTS,
+    wait_seconds: float = RETRY_SECONDS,
+    ledger: str | None = None,
+    draws: int = DRAWS,
+) -> DataFrame:
+    """LB4/LB5 by rounds: (key, reply, error, attempts) for every row of `work`.
+
+    Requests go through the ledger of paid replies (operators/ledger.py): each distinct
+    request is asked once per round, refusals (429) again in the next round after the
+    driver waits, and a run on the same `ledger` asks nothing that was answered. Rows
+    without a prompt get NULLs, as do no calls for them.
+    """
+    request = F.struct(*request_fields(draw, draws))
+    rows = work.select(key, request.alias("request")).withColumn("request_hash", request_hash(F.col("request")))
+    requests = rows.where(F.col("request.prompt").isNotNull()).select("request_hash", "request.*")
+    outcomes = ask_in_rounds(requests, make_responder, ledger, attempts, wait_seconds)
+    found = rows.select(key, "request_hash").join(
+        outcomes.withColumn("asked", F.lit(True)), "request_hash", "left")
+    return found.select(key, "reply", "error", F.col("attempts").cast("int").alias("attempts"))
+
+
 def valid_model_pairs(spark: SparkSession) -> DataFrame:
     """LB7: which provider serves which model."""
     pairs = [
@@ -285,15 +312,16 @@ def ask(
     attempts: int = LABEL_ATTEMPTS,
     wait_seconds: float = RETRY_SECONDS,
     path: str | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """(key, reply) of the examples with a missing label, written down before use.
 
-    They go to `path`, or to the shared folder. Only keys and replies are stored, so texts are not copied, and neither a second
-    reader nor a lost executor repeats a call whose task has ended.
+    Calls go through the ledger of paid replies, asked by rounds; `ledger` kept between
+    runs means that nothing answered is asked again. The (key, reply) rows go to `path`, or
+    to the shared folder. Only keys and replies are stored, so texts are not copied.
     """
     work = examples.filter(quality.needs_work(F.col(YEARS), F.col(SALARY)))
-    response = call_responder(F.struct(*request_fields(draw)), make_responder, attempts, wait_seconds)
-    replies = work.select(key, response["reply"].alias("reply"))
+    replies = respond_in_rounds(work, key, draw, make_responder, attempts, wait_seconds, ledger).select(key, "reply")
     if path is None:
         return cut_lineage(replies, "replies")
     replies.write.mode("overwrite").parquet(path)
@@ -321,7 +349,8 @@ def fill_labels(
 def with_stored_replies(examples: DataFrame, key: str, replies: DataFrame) -> DataFrame:
     """Examples with a status, labelled from stored (key, reply) rows."""
     work = quality.needs_work(F.col(YEARS), F.col(SALARY))
-    answered = examples.filter(work).join(replies, key)
+    # A row without a stored reply, or with a NULL key, stays and fails; it does not vanish.
+    answered = examples.filter(work).join(replies, key, "left")
     untouched = examples.filter(~work).withColumn("reply", F.lit(None).cast("string"))
     rows = untouched.unionByName(answered.select(*examples.columns, "reply"))
     return label_with_replies(rows, F.col("reply"))

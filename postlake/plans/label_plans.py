@@ -135,10 +135,10 @@ FROM (SELECT *, length(left(text, 3500)) AS n FROM labelled
 
 
 def asked(spark, sf_dir):
-    response = labels.call_responder(
-        F.struct(*labels.request_fields(draw(), PORTABLE_DRAWS)), canned_responder, wait_seconds=0)
     work = labels.quality.needs_work(F.col("expected_experience_years"), F.col("expected_salary"))
-    return labelled(spark, sf_dir).filter(work).select("row_id", response.alias("r"))
+    found = labels.respond_in_rounds(
+        labelled(spark, sf_dir).filter(work), "row_id", draw(), canned_responder, wait_seconds=0, draws=PORTABLE_DRAWS)
+    return found.select("row_id", F.struct("reply", "error", "attempts").alias("r"))
 
 
 @query("lb4_call_responder", i.with_views(RESPONSE_SQL, labelled=i.LABELLED))
@@ -172,10 +172,10 @@ SELECT row_id, CASE WHEN n % 50 <> 0 THEN reply END AS reply,
 FROM responses JOIN (SELECT row_id, length(left(text, 3500)) AS n FROM labelled) USING (row_id)""",
     labelled=i.LABELLED, responses=RESPONSE_SQL))
 def lb4_isolated(spark, sf_dir):
-    response = labels.call_responder(
-        F.struct(*labels.request_fields(draw(), PORTABLE_DRAWS)), raising_responder, wait_seconds=0)
     work = labels.quality.needs_work(F.col("expected_experience_years"), F.col("expected_salary"))
-    return labelled(spark, sf_dir).filter(work).select("row_id", response.alias("r")).select("row_id", "r.reply", "r.error")
+    found = labels.respond_in_rounds(
+        labelled(spark, sf_dir).filter(work), "row_id", draw(), raising_responder, wait_seconds=0, draws=PORTABLE_DRAWS)
+    return found.select("row_id", "reply", "error")
 
 
 CHAIN = [("openai", "gpt-4o-mini"), ("grok", "gpt-4o"), ("claude", "claude-sonnet-4-20250514")]

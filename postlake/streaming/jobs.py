@@ -48,6 +48,8 @@ def stream_fill_labels(
     A chunk is one folder named by its batch id, replaced when the batch is run
     again, so a restart neither loses nor repeats rows. Its replies are written down
     first, under `_replies`; a batch that is run again reads them in place of calling.
+    Calls go through one ledger of paid replies, `_ledger`, so a batch that failed while
+    asking asks only what it had not been answered yet.
     """
     def label_chunk(chunk: DataFrame, batch_id: int) -> None:
         path = f"{out}/_replies/{batch_id}"
@@ -55,7 +57,8 @@ def stream_fill_labels(
             replies = chunk.sparkSession.read.parquet(path)
         except AnalysisException:  # not there, or without a finished file
             draw = labels.model_draw(key, seed=seed)
-            replies = labels.ask(chunk, key, draw, make_responder, wait_seconds=wait_seconds, path=path)
+            replies = labels.ask(chunk, key, draw, make_responder, wait_seconds=wait_seconds, path=path,
+                                 ledger=f"{out}/_ledger")
         kept = labels.drop_failed(labels.with_stored_replies(chunk, key, replies)).select(*chunk.columns)
         kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
