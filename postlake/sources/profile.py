@@ -27,7 +27,10 @@ def describe(df: DataFrame, columns: list[str] = TARGETS) -> DataFrame:
     """SC7: count, mean, std, min, quartiles and max per column, to 3 places.
 
     NULL and NaN are left out; infinities are ordinary values, the least and greatest.
-    Quartiles interpolate between neighbours, where they fall between two that differ. All columns and quartiles are found together, see `order_statistics`.
+    Quartiles interpolate between neighbours, where they fall between two that differ.
+    Two passes: one aggregation gives the moments and, from a mergeable quantile sketch,
+    values that bracket every wanted order statistic; a second counts the values below
+    each bracket and sorts those inside it, see `bracketed_order_statistics`.
     """
     clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
     values = df.select(clean)
@@ -35,13 +38,14 @@ def describe(df: DataFrame, columns: list[str] = TARGETS) -> DataFrame:
         f(c).alias(f"{c}_{name}") for c in columns for name, f in
         [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
     ]
-    found = values.agg(*basics).first().asDict()
+    wanted_shares = [share for _, share in QUARTILES]
+    found = values.agg(*basics, *[sketch(c, wanted_shares).alias(f"{c}_sketch") for c in columns]).first().asDict()
     wanted = []
     for c in columns:
         for _, share in QUARTILES:
             at = (found[f"{c}_count"] - 1) * share
             wanted += [(c, int(at) + 1), (c, min(int(at) + 2, found[f"{c}_count"]))]
-    numbers = iter(order_statistics(values, wanted))
+    numbers = iter(bracketed_order_statistics(values, wanted, {c: (found[f"{c}_count"], found[f"{c}_sketch"]) for c in columns}))
     for c in columns:
         for name, share in QUARTILES:
             below, above, part = next(numbers), next(numbers), (found[f"{c}_count"] - 1) * share % 1
@@ -56,6 +60,65 @@ def describe(df: DataFrame, columns: list[str] = TARGETS) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
+#: Accuracy of the quantile sketch: a returned value's rank is within n / ACCURACY of the asked one.
+ACCURACY = 100_000
+
+
+def sketch(column: str, shares: list[float]) -> Column:
+    """Values of a mergeable (Greenwald-Khanna) quantile sketch around the given shares.
+
+    For every share q two values: at q - 2/ACCURACY and at q + 2/ACCURACY (clipped to 0
+    and 1), which bracket the exact order statistic at q by the sketch's rank guarantee.
+    """
+    edges = []
+    for share in shares:
+        edges += [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)]
+    return F.percentile_approx(column, F.array(*[F.lit(e) for e in edges]), ACCURACY)
+
+
+def bracketed_order_statistics(values: DataFrame, wanted: list[tuple[str, int]],
+                               sketches: dict[str, tuple[int, list | None]]) -> list[float | None]:
+    """The wanted (column, n-th smallest value)s, exact, in one more pass over `values`.
+
+    Each wanted rank takes the sketch's bracket [low, high] of the nearest share; one
+    aggregation counts the values below, equal to low and equal to high, and sorts the
+    values strictly inside (at most about 4 n / ACCURACY of them, ties or not). A rank the
+    bracket does not hold (the sketch's guarantee failed) is found by `order_statistics`.
+    """
+    answers: list[float | None] = [None] * len(wanted)
+    brackets = {}
+    for t, (c, rank) in enumerate(wanted):
+        n, edges = sketches[c]
+        if not n or edges is None or not 1 <= rank <= n:
+            continue
+        share = (rank - 1) / max(n - 1, 1)
+        k = min(range(len(QUARTILES)), key=lambda j: abs(QUARTILES[j][1] - share))
+        brackets[t] = (c, float(edges[2 * k]), float(edges[2 * k + 1]), rank)
+    rest = [t for t in range(len(wanted)) if t not in brackets and wanted[t][1] >= 1 and sketches[wanted[t][0]][0]]
+    if brackets:
+        aggs = []
+        for t, (c, low, high, _) in brackets.items():
+            v = F.col(c)
+            aggs += [F.count_if(v < low).alias(f"b{t}"), F.count_if(v == low).alias(f"l{t}"),
+                     F.count_if((v == high) & (v > low)).alias(f"h{t}"),
+                     F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"v{t}")]
+        found = values.agg(*aggs).first().asDict()
+        for t, (_, low, high, rank) in brackets.items():
+            inside, at = found[f"v{t}"], rank - found[f"b{t}"]
+            if 1 <= at <= found[f"l{t}"]:
+                answers[t] = low
+            elif 1 <= at - found[f"l{t}"] <= len(inside):
+                answers[t] = inside[at - found[f"l{t}"] - 1]
+            elif 1 <= at - found[f"l{t}"] - len(inside) <= found[f"h{t}"]:
+                answers[t] = high
+            else:
+                rest.append(t)
+    if rest:
+        for t, value in zip(rest, order_statistics(values, [wanted[t] for t in rest])):
+            answers[t] = value
+    return answers
+
+
 def order_statistics(values: DataFrame, wanted: list[tuple[str, int]]) -> list[float | None]:
     """The wanted (column, n-th smallest value)s, exact; None past the end.
 

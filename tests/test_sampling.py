@@ -121,3 +121,18 @@ def test_order_statistics(spark, monkeypatch, seed):
     wanted = [1, 2, 999, 1000, 2000, 3999, 4000, 4001]
     found = profile.order_statistics(df, [("v", n) for n in wanted])
     assert found == [sorted(values)[n - 1] if n <= 4000 else None for n in wanted]
+
+
+@pytest.mark.parametrize("accuracy", [3, 100, 100_000])
+def test_quartiles_from_the_sketch_match_a_sort(spark, monkeypatch, accuracy):
+    """Brackets narrow or wide (even wrong at a tiny accuracy), ties or not: the same exact quartiles."""
+    monkeypatch.setattr(profile, "ACCURACY", accuracy)
+    draw = random.Random(accuracy)
+    values = [float(draw.choice([draw.randrange(5), draw.randrange(10 ** 5)])) for _ in range(3001)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(4)
+    row = profile.describe(df, ["v"]).first()
+    ordered = sorted(values)
+    for name, share in profile.QUARTILES:
+        at = (len(values) - 1) * share
+        low, high = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)]
+        assert row[name] == round(low + (high - low) * (at % 1), 3)
