@@ -6,17 +6,20 @@ block keeps a zone map: the least and greatest value of every dimension, and its
 with their counts. For an anchor a, interval arithmetic bounds the score of every row of a
 block: a_d * x_d lies between a_d * lo_d and a_d * hi_d, so the sum lies in [LB, UB].
 
-- Positives: within a task of anchors and blocks, blocks in falling LB are counted until
-  they hold 5 rows of the anchor's label (the anchor left out); that LB is a floor every
-  one of the anchor's top five scores reaches. The greatest floor over all tasks is kept,
-  and only blocks of the label whose UB reaches it are read.
+- Positives: in a task, an anchor's blocks taken in falling LB until they hold 5 rows of
+  its label (the anchor left out) give a floor that its top five scores reach; blocks
+  whose UB is below the floor are not read.
 - Negatives: with the positives known, only blocks with another label whose [LB, UB] meets
   the anchor's score windows [0.8 p, p] are read.
 
-Anchors meet blocks in tasks of at most ANCHORS_PER_TASK anchors and BLOCKS_PER_TASK
-zone maps (a stated query set against all rows, in blocks); only surviving (anchor, block)
-pairs leave a task. Reading a block joins those pairs with its rows; scores are exact
-integer inner products in JVM expressions.
+Anchors meet blocks in tasks of at most ANCHORS_PER_TASK anchors and the rows of about
+BLOCKS_PER_TASK blocks (a stated query set against all rows, in blocks). A task scores
+the rows it must read with one matrix product, exactly, and returns only its best five
+per anchor (and positive); the best five of those over all tasks are the result.
+
+On 64-dimensional embeddings such zone maps are wide: in the check tables nearly every
+block's UB reaches the floor (measured 99 percent), so the work stays anchors x rows;
+see the README.
 """
 
 from __future__ import annotations
@@ -39,9 +42,8 @@ ANCHOR_EVERY, RELABEL_EVERY, LABELS, TOP = 100, 7, 10, 5
 LOW_PERCENT = 80
 #: Bits per dimension of the Hilbert key, rows per block, and the sizes of a bounding task.
 HILBERT_BITS, BLOCK_ROWS = 2, 128
-ANCHORS_PER_TASK, BLOCKS_PER_TASK = 512, 512
+ANCHORS_PER_TASK, BLOCKS_PER_TASK = 512, 64
 
-PAIR = "anchor_id long, block long, floor long, ub long"
 OUT = ("anchor_id long, positive_id long, rank int, negative_id long, positive_score long, "
        "negative_score long")
 
@@ -78,33 +80,21 @@ def hard_negatives(embeddings: DataFrame) -> DataFrame:
     positive with a negative score has an empty window. An empty table gives no rows.
     Repeated vec_ids are separate rows; an anchor's own id never counts as its positive.
     """
-    spark = embeddings.sparkSession
     rows = prepared(embeddings)
     blocks = hilbert_blocks(rows)
-    zones = zone_maps(blocks)
     anchors = cut_lineage(blocks.where(F.col("vec_id") % ANCHOR_EVERY == 0).select(
-        F.col("vec_id").alias("anchor_id"), F.col("label").alias("alabel"), F.col("x").alias("ax"),
-        F.col("block").alias("ablock")), "hard-anchors")
-
-    # Positives: blocks of the anchor's label whose UB reaches the greatest floor found.
-    pairs = bounded_pairs(anchors.withColumn("low", F.lit(None).cast("long")).withColumn("high", F.lit(None).cast("long")),
-                          zones, positives=True)
-    floors = pairs.groupBy("anchor_id").agg(F.max("floor").alias("least"))
-    chosen = pairs.join(floors, "anchor_id").where(F.col("ub") >= F.col("least")).select("anchor_id", "block")
-    read = _read(chosen, blocks, anchors).where((F.col("label") == F.col("alabel")) & (F.col("vec_id") != F.col("anchor_id")))
+        F.col("vec_id").alias("anchor_id"), F.col("label").alias("alabel"), F.col("x").alias("ax")), "hard-anchors")
+
+    # Positives: every task keeps its best TOP rows of the anchor's label; the best TOP of those stay.
+    found = searched(anchors.withColumn("windows", F.lit(None).cast(WINDOWS)), blocks, _best_positives, POSITIVE)
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
-    positives = cut_lineage(read.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TOP).select(
+    positives = cut_lineage(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TOP).select(
         "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "hard-positives")
 
-    # Negatives: blocks with another label whose bounds meet one of the anchor's windows.
-    windows = positives.where(F.col("positive_score") >= 0).groupBy("anchor_id").agg(
-        F.min(F.ceil(F.col("positive_score") * LOW_PERCENT / 100)).cast("long").alias("low"),
-        F.max("positive_score").alias("high"))
-    wanted = anchors.join(windows, "anchor_id")
-    pairs = bounded_pairs(wanted, zones, positives=False).select("anchor_id", "block")
-    read = _read(pairs, blocks, anchors).where(F.col("label") != F.col("alabel"))
-    found = read.join(positives, "anchor_id").where(
-        (F.col("positive_score") * LOW_PERCENT <= F.col("score") * 100) & (F.col("score") <= F.col("positive_score")))
+    # Negatives: every task keeps, per positive, its best TOP different-label rows in the window.
+    windows = positives.groupBy("anchor_id").agg(F.sort_array(F.collect_list(
+        F.struct("positive_id", "positive_score"))).alias("windows"))
+    found = searched(anchors.join(windows, "anchor_id"), blocks, _best_negatives, NEGATIVE)
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"),
@@ -201,84 +191,134 @@ def hilbert_key(cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (words[0] ^ flip).view(np.int64), (words[1] ^ flip).view(np.int64)
 
 
-def zone_maps(blocks: DataFrame) -> DataFrame:
-    """block, lo, hi (per-dimension least and greatest x), labels and counts (parallel arrays)."""
-    dims = blocks.select(F.size("x").alias("d")).limit(1).collect()
-    dim = dims[0]["d"] if dims else 0
-    spans = blocks.groupBy("block").agg(F.array(*[F.min(F.col("x")[k]) for k in range(dim)]).alias("lo"),
-                                        F.array(*[F.max(F.col("x")[k]) for k in range(dim)]).alias("hi"))
-    labels = blocks.groupBy("block", "label").count().groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("label", "count"))).alias("labels"))
-    return cut_lineage(spans.join(labels, "block"), "hard-zones")
+WINDOWS = "array<struct<positive_id: long, positive_score: long>>"
+POSITIVE = "anchor_id long, vec_id long, score long"
+NEGATIVE = "anchor_id long, positive_id long, positive_score long, vec_id long, score long"
 
 
-def bounded_pairs(anchors: DataFrame, zones: DataFrame, positives: bool) -> DataFrame:
-    """(anchor_id, block, floor, ub) of blocks an anchor must read, from tasks of anchors x zone maps.
+def searched(anchors: DataFrame, blocks: DataFrame, search, schema: str) -> DataFrame:
+    """Tasks of at most ANCHORS_PER_TASK anchors and the rows of about BLOCKS_PER_TASK blocks.
 
-    positives: blocks with rows of the anchor's label (besides itself) whose UB reaches the
-    task's floor; `floor` is that floor. Else: blocks with another label whose [LB, UB]
-    meets [low, high], the anchor's window; `floor` is NULL.
+    Anchors are dealt to a_tasks groups and blocks to z_tasks groups; every pair of groups is
+    one task (a stated query set against all rows, in blocks). A task builds the zone maps
+    of its blocks, bounds every anchor's scores on them, reads only the blocks the bounds
+    leave, and returns a bounded number of rows per anchor.
     """
-    n_anchors, n_zones = anchors.count(), zones.count()
+    n_anchors = anchors.count()
+    n_blocks = blocks.select("block").distinct().count()
     a_tasks = max(1, math.ceil(n_anchors / ANCHORS_PER_TASK))
-    z_tasks = max(1, math.ceil(n_zones / BLOCKS_PER_TASK))
-    left = anchors.select("anchor_id", "alabel", "ax", "ablock", "low", "high").withColumn(
-        "ac", F.pmod(F.xxhash64("anchor_id"), F.lit(a_tasks))).withColumn("zc", F.explode(F.sequence(F.lit(0), F.lit(z_tasks - 1))))
-    right = zones.withColumn("zc", F.pmod(F.xxhash64("block"), F.lit(z_tasks))).withColumn(
+    z_tasks = max(1, math.ceil(n_blocks / BLOCKS_PER_TASK))
+    left = anchors.select("anchor_id", "alabel", "ax", "windows").withColumn(
+        "ac", F.pmod(F.xxhash64("anchor_id"), F.lit(a_tasks))).withColumn(
+        "zc", F.explode(F.sequence(F.lit(0), F.lit(z_tasks - 1))))
+    right = blocks.select("vec_id", "label", "x", "block").withColumn(
+        "zc", F.pmod(F.xxhash64("block"), F.lit(z_tasks))).withColumn(
         "ac", F.explode(F.sequence(F.lit(0), F.lit(a_tasks - 1))))
-    floor_of = _positive_pairs if positives else _negative_pairs
-    return left.groupBy("ac", "zc").cogroup(right.groupBy("ac", "zc")).applyInPandas(floor_of, PAIR)
+    return left.groupBy("ac", "zc").cogroup(right.groupBy("ac", "zc")).applyInPandas(search, schema)
+
+
+def _block_view(rows: pd.DataFrame):
+    """Rows of a task as arrays sorted by block, with each block's zone map and row range."""
+    rows = rows.sort_values(["block", "vec_id"], kind="stable")
+    x = np.stack(rows["x"].to_numpy()).astype(np.int64)
+    block = rows["block"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    ends = np.r_[starts[1:], len(block)]
+    lo = np.minimum.reduceat(x, starts, axis=0)
+    hi = np.maximum.reduceat(x, starts, axis=0)
+    return x, rows["vec_id"].to_numpy(), rows["label"].to_numpy(), starts, ends, lo, hi
 
 
-def _bounds(a: pd.DataFrame, z: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    ax = np.stack(a["ax"].to_numpy()).astype(np.int64)
-    lo, hi = np.stack(z["lo"].to_numpy()).astype(np.int64), np.stack(z["hi"].to_numpy()).astype(np.int64)
+def _scores(ax: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact integer inner products: in doubles where every partial sum stays below 2^53."""
+    bound = float(np.abs(ax).max(initial=0)) * float(np.abs(x).max(initial=0)) * ax.shape[-1]
+    if bound < 2.0 ** 53:
+        return np.rint(ax.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    return ax @ x.T
+
+
+def _bounds(ax: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pos, neg = np.maximum(ax, 0), np.minimum(ax, 0)
     return pos @ lo.T + neg @ hi.T, pos @ hi.T + neg @ lo.T
 
 
-def _label_counts(z: pd.DataFrame, labels: np.ndarray) -> np.ndarray:
-    """Rows of each anchor's label in each block: anchors x blocks."""
-    out = np.zeros((len(labels), len(z)), dtype=np.int64)
-    for j, entries in enumerate(z["labels"]):
-        for entry in entries:
-            out[labels == entry["label"], j] += entry["count"]
-    return out
+NONE = np.iinfo(np.int64).min
 
 
-def _positive_pairs(a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
-    if a.empty or z.empty:
-        return pd.DataFrame({"anchor_id": [], "block": [], "floor": [], "ub": []})
-    low, high = _bounds(a, z)
-    labels = a["alabel"].to_numpy()
-    same = _label_counts(z, labels)
-    same -= (z["block"].to_numpy()[None, :] == a["ablock"].to_numpy()[:, None])  # the anchor itself
-    out = []
-    for i in range(len(a)):
-        order = np.argsort(-low[i], kind="stable")
-        counts = np.cumsum(same[i, order])
-        enough = np.searchsorted(counts, TOP)
-        floor = int(low[i, order[enough]]) if enough < len(order) else np.iinfo(np.int64).min
-        keep = (same[i] > 0) & (high[i] >= floor)
-        out.append(pd.DataFrame({"anchor_id": a["anchor_id"].iloc[i], "block": z["block"].to_numpy()[keep],
-                                 "floor": floor, "ub": high[i][keep]}))
-    return pd.concat(out, ignore_index=True)
+def _top(scores: np.ndarray, ids: np.ndarray, keep: np.ndarray, top: int):
+    """Per row of `scores` (anchors x rows): the positions of its best `top` kept entries,
+    higher score first, then smaller id; as (anchor index, row position) arrays."""
+    masked = np.where(keep, scores, NONE)
+    if masked.shape[1] > top:
+        floor = np.partition(masked, masked.shape[1] - top, axis=1)[:, masked.shape[1] - top]
+    else:
+        floor = np.full(masked.shape[0], NONE)
+    who, where = np.nonzero(keep & (masked >= floor[:, None]))
+    order = np.lexsort((ids[where], -masked[who, where], who))
+    who, where = who[order], where[order]
+    first = np.r_[0, np.flatnonzero(np.diff(who)) + 1] if len(who) else np.zeros(0, np.int64)
+    rank = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
+    return who[rank < top], where[rank < top]
+
+
+def _anchor_arrays(a: pd.DataFrame):
+    return (np.stack(a["ax"].to_numpy()).astype(np.int64), a["alabel"].to_numpy(), a["anchor_id"].to_numpy())
+
 
+def _best_positives(a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+    """Per anchor, the task's best TOP other rows of its label, reading only blocks the bounds leave.
 
-def _negative_pairs(a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+    The floor of an anchor is the least bound LB of the blocks, taken in falling LB, that
+    first hold TOP rows of its label; blocks whose UB is below it cannot hold a top row.
+    """
+    if a.empty or z.empty:
+        return pd.DataFrame({"anchor_id": [], "vec_id": [], "score": []})
+    x, ids, labels, starts, ends, lo, hi = _block_view(z)
+    ax, alabel, aid = _anchor_arrays(a)
+    low, high = _bounds(ax, lo, hi)
+    of_row = np.repeat(np.arange(len(starts)), ends - starts)
+    same = np.stack([np.bincount(of_row, weights=(labels == lab) & (ids != i), minlength=len(starts))
+                     for lab, i in zip(alabel, aid)]).astype(np.int64)
+    order = np.argsort(-low, axis=1, kind="stable")
+    held = np.cumsum(np.take_along_axis(same, order, axis=1), axis=1)
+    enough = held[:, -1] >= TOP
+    at = np.argmax(held >= TOP, axis=1)
+    floor = np.where(enough, np.take_along_axis(low, order, axis=1)[np.arange(len(aid)), at], NONE)
+    need = (high >= floor[:, None]) & (same > 0)
+    read = need.any(axis=0)[of_row]
+    rows = np.flatnonzero(read)
+    scores = _scores(ax, x[rows])
+    keep = need[:, of_row[rows]] & (labels[rows][None, :] == alabel[:, None]) & (ids[rows][None, :] != aid[:, None])
+    who, where = _top(scores, ids[rows], keep, TOP)
+    return pd.DataFrame({"anchor_id": aid[who], "vec_id": ids[rows][where], "score": scores[who, where]})
+
+
+def _best_negatives(a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+    """Per anchor and positive, the task's best TOP rows of another label in the positive's window,
+    reading only blocks whose [LB, UB] meets one of the anchor's windows."""
+    columns = ["anchor_id", "positive_id", "positive_score", "vec_id", "score"]
+    a = a[[any(w["positive_score"] >= 0 for w in ws) for ws in a["windows"]]] if not a.empty else a
     if a.empty or z.empty:
-        return pd.DataFrame({"anchor_id": [], "block": [], "floor": [], "ub": []})
-    low, high = _bounds(a, z)
-    labels = a["alabel"].to_numpy()
-    totals = np.array([sum(e["count"] for e in entries) for entries in z["labels"]], dtype=np.int64)
-    other = totals[None, :] - _label_counts(z, labels) > 0
-    meets = (high * 100 >= a["low"].to_numpy()[:, None] * 100) & (low <= a["high"].to_numpy()[:, None])
-    i, j = np.nonzero(other & meets)
-    return pd.DataFrame({"anchor_id": a["anchor_id"].to_numpy()[i], "block": z["block"].to_numpy()[j],
-                         "floor": pd.array([None] * len(i), dtype="Int64"), "ub": high[i, j]})
-
-
-def _read(pairs: DataFrame, blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Rows of the chosen blocks beside their anchor, with the exact score."""
-    return pairs.join(blocks, "block").join(anchors.select("anchor_id", "alabel", "ax"), "anchor_id").select(
-        "anchor_id", "alabel", "vec_id", "label", score("ax", "x").alias("score"))
+        return pd.DataFrame({c: [] for c in columns})
+    x, ids, labels, starts, ends, lo, hi = _block_view(z)
+    ax, alabel, aid = _anchor_arrays(a)
+    windows = [[(w["positive_id"], w["positive_score"]) for w in ws if w["positive_score"] >= 0] for ws in a["windows"]]
+    least = np.array([min(-(-LOW_PERCENT * p // 100) for _, p in ws) for ws in windows], dtype=np.int64)
+    most = np.array([max(p for _, p in ws) for ws in windows], dtype=np.int64)
+    low, high = _bounds(ax, lo, hi)
+    of_row = np.repeat(np.arange(len(starts)), ends - starts)
+    other = np.stack([np.bincount(of_row, weights=labels != lab, minlength=len(starts)) for lab in alabel]) > 0
+    need = (high >= least[:, None]) & (low <= most[:, None]) & other
+    rows = np.flatnonzero(need.any(axis=0)[of_row])
+    scores = _scores(ax, x[rows])
+    base = need[:, of_row[rows]] & (labels[rows][None, :] != alabel[:, None])
+    out = []
+    for j in range(TOP):
+        has = np.array([len(ws) > j for ws in windows])
+        p = np.array([ws[j][1] if len(ws) > j else 0 for ws in windows], dtype=np.int64)
+        pid = np.array([ws[j][0] if len(ws) > j else 0 for ws in windows], dtype=np.int64)
+        keep = base & has[:, None] & (LOW_PERCENT * p[:, None] <= 100 * scores) & (scores <= p[:, None])
+        who, where = _top(scores, ids[rows], keep, TOP)
+        out.append(pd.DataFrame({"anchor_id": aid[who], "positive_id": pid[who], "positive_score": p[who],
+                                 "vec_id": ids[rows][where], "score": scores[who, where]}))
+    return pd.concat(out, ignore_index=True)
