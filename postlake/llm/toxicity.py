@@ -119,7 +119,7 @@ def token_forms(column: pa.Array):
 
 
 def _learn_forms(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted form hashes and their log-odds, 0 for neutral ones."""
+    """Sorted form hashes and their log-odds: 0 for neutral ones, NaN for undecided ones."""
     totals = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -157,7 +157,10 @@ def _learn_forms(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
     a, b = PRIOR * 2 * toxic / (toxic + clean), PRIOR * 2 * clean / (toxic + clean)
     odds = np.log((in_toxic + a) / (toxic - in_toxic + PRIOR)) - np.log((in_clean + b) / (clean - in_clean + PRIOR))
     z = odds / np.sqrt(1 / (in_toxic + a) + 1 / (in_clean + b))
-    return forms, np.where((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS), odds, 0.0)
+    decided = (np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS)
+    # Neutral only on evidence from clean texts; a form never seen there is undecided (NaN)
+    # and leaves the word to its shorter forms.
+    return forms, np.where(decided, odds, np.where(in_clean > 0, 0.0, np.nan))
 
 
 def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +186,9 @@ def find_segments(docs: DataFrame, forms: np.ndarray, log_odds: np.ndarray) -> D
             first, hashes = token_forms(batch.column("text"))
             places = lookup.places(hashes)
             known = places >= 0
+            known[known] = ~np.isnan(odds[places[known]])
             token = np.flatnonzero(known.any(axis=1))
-            # The first known form is the most specific one.
+            # The first known and decided form is the most specific one.
             score = odds[places[token, known[token].argmax(axis=1)]] if len(token) else np.zeros(0)
             token, score = token[score != 0], score[score != 0]
             cuts = np.searchsorted(token, first)
