@@ -190,6 +190,10 @@ def partition(lengths: np.ndarray, count: int) -> np.ndarray:
     return window[:len(lengths)]
 
 
+#: Pretokens longer than this many bytes are encoded by the tokenizers library.
+LONG_PRETOKEN = 100_000
+
+
 class Encoder:
     """Ids of a byte-level vocabulary for many texts at once: equal pretokens are encoded once."""
 
@@ -200,6 +204,7 @@ class Encoder:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(bytes_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in added}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.path, self.library = path, None
         self.specials = [s.encode() for s in added]
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, n in ranks.items():
@@ -268,7 +273,8 @@ class Encoder:
         held = set(joined)
         rest = [n for n in range(len(pretokens)) if n not in held]
         for n in rest:
-            found[n] = self.encoding.encode_ordinary(pretokens[n].decode())
+            found[n] = self._long(pretokens[n]) if len(pretokens[n]) > LONG_PRETOKEN else \
+                self.encoding.encode_ordinary(pretokens[n].decode())
             sizes[n] = len(found[n])
         sizes[joined] = np.diff(np.concatenate([[0], cuts]))
         low = np.concatenate([[0], np.cumsum(sizes)])
@@ -280,6 +286,17 @@ class Encoder:
             out[low[n]:low[n + 1]] = found[n]
         return out, sizes
 
+    def _long(self, pretoken: bytes) -> list[int]:
+        """A very long pretoken (a run of white space) by the tokenizers library itself.
+
+        tiktoken's merge loop overflows its stack on runs of about a million characters.
+        """
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(pretoken.decode(), add_special_tokens=False).ids
+
     def _one_by_one(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that spell out special tokens: those strings are their ids."""
         found = [np.array(self.encoding.encode(raw[a:b].decode(), allowed_special="all"), np.uint32)

@@ -95,3 +95,18 @@ def test_differencing():
     assert sorted(number.tolist()) == list(range(10))
     with pytest.raises(ValueError):
         differencing(np.array([2049]), 2048)
+
+
+def test_very_long_white_space_is_encoded_as_the_library_does():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from postlake.llm.packing import Encoder
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, library = Encoder(path), Tokenizer.from_file(path)
+    for text in [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 300_000 + "b", "x " + "\t\n " * 200_000 + "end"]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, offsets = encoder.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
