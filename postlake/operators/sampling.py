@@ -79,6 +79,62 @@ def nth_key(
     raise ValueError(f"{order} is not unique: {size} rows share one key")
 
 
+def nth_keys(
+    df: DataFrame, order: list[str], ns: list[int], weight: str | None = None,
+    sort_rows: int = SORT_ROWS, histogram: int = HISTOGRAM,
+) -> list[tuple[Any, ...] | None]:
+    """`nth_key` for several ranks at once: one histogram pass a round serves all of them.
+
+    Each round counts, in one aggregation, the rows of every undecided rank's value range
+    of the first order column in at most `histogram` slots, and keeps for every rank the
+    slot its row falls in. Ranks whose range holds at most `sort_rows` rows are settled by
+    one sort each; a rank whose range cannot be narrowed on the first column (ties there)
+    goes on by `nth_key` over the further columns.
+    """
+    rows = df.select(*order, (F.col(weight) if weight else F.lit(1)).alias("_weight"))
+    value = F.col(order[0])
+    total, size, low, high = rows.agg(F.sum("_weight"), F.count(F.lit(1)), F.min(value), F.max(value)).first()
+    answers: list[tuple[Any, ...] | None] = [None] * len(ns)
+    ranges = {t: [n, size, low, high] for t, n in enumerate(ns) if 1 <= n <= (total or 0)}
+
+    def narrowing(t):
+        n, size, low, high = ranges[t]
+        return size > sort_rows and low != high and float(high - low) / histogram > 0
+
+    while any(narrowing(t) for t in ranges):
+        active = [t for t in ranges if narrowing(t)]
+        cells = []
+        for t in active:
+            _, _, low, high = ranges[t]
+            width = float(high - low) / histogram
+            slot = F.floor((value - F.lit(low)).cast("double") / F.lit(width))
+            cells.append(F.when(value.between(F.lit(low), F.lit(high)), F.struct(F.lit(t).alias("t"), slot.alias("slot"))))
+        placed = rows.select(value.alias("v"), "_weight", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+        counted = placed.groupBy("c.t", "c.slot").agg(
+            F.sum("_weight").alias("held"), F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("v").alias("high"))
+        by_target: dict[int, list] = {}
+        for r in counted.collect():  # at most `histogram` rows a rank
+            by_target.setdefault(r["t"], []).append(r)
+        for t in active:
+            n = ranges[t][0]
+            for r in sorted(by_target.get(t, []), key=lambda r: r["slot"]):
+                if n <= r["held"]:
+                    ranges[t] = [n, r["size"], r["low"], r["high"]]
+                    break
+                n -= r["held"]
+    for t, (n, size, low, high) in ranges.items():
+        inside = rows.filter(value.between(F.lit(low), F.lit(high)))
+        if size <= sort_rows:
+            upto = F.sum("_weight").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+            last = inside.withColumn("_upto", upto).filter(F.col("_upto") >= n)
+            answers[t] = tuple(last.orderBy(*order).select(*order).first())
+        elif len(order) > 1:
+            answers[t] = nth_key(inside, order, n, "_weight")
+        else:
+            raise ValueError(f"{order} is not unique: {size} rows share one key")
+    return answers
+
+
 def at_or_before(order: list[str], cut: tuple[Any, ...]) -> Column:
     """Rows whose order key does not come after `cut`."""
     same: Column = F.lit(True)
@@ -89,10 +145,10 @@ def at_or_before(order: list[str], cut: tuple[Any, ...]) -> Column:
     return reduce(lambda a, b: a | b, branches) | same
 
 
-def take_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
+def take_n(df: DataFrame, order: list[str], n: int, sort_rows: int = SORT_ROWS) -> DataFrame:
     """SP2: exactly the n rows with the smallest order keys, all rows if fewer."""
     df = df.filter(_has_key(order))
-    cut = nth_key(_keys(df, order), order, n)
+    cut, = nth_keys(_keys(df, order), order, [n], sort_rows=sort_rows)
     if cut is None:
         log.warning("fewer than the %d rows asked for", n)
         return df
@@ -121,14 +177,16 @@ def first_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.orderBy(key).limit(k)
 
 
-def positional_split(df: DataFrame, order: list[str], n_train: int, n_val: int) -> DataFrame:
+def positional_split(df: DataFrame, order: list[str], n_train: int, n_val: int,
+                     sort_rows: int = SORT_ROWS) -> DataFrame:
     """SP3: the first n_train rows train, the next n_val val, the rest left out.
 
     A shortfall empties val first.
     """
     df = df.filter(_has_key(order))
     keys = _keys(df, order)
-    train_cut, val_cut = nth_key(keys, order, n_train), nth_key(keys, order, n_train + n_val)
+    # Both cuts in one walk: every round's histogram pass serves the two.
+    train_cut, val_cut = nth_keys(keys, order, [n_train, n_train + n_val], sort_rows=sort_rows)
     if train_cut is None:
         return df.withColumn("split", F.lit("train"))
     split = F.when(at_or_before(order, train_cut), F.lit("train")).otherwise(F.lit("val"))

@@ -136,3 +136,15 @@ def test_quartiles_from_the_sketch_match_a_sort(spark, monkeypatch, accuracy):
         at = (len(values) - 1) * share
         low, high = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)]
         assert row[name] == round(low + (high - low) * (at % 1), 3)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_several_cuts_in_one_walk(spark, seed):
+    draw = random.Random(seed)
+    rows = [(float(draw.choice([draw.randrange(30), draw.randrange(10 ** 6)])), n) for n in range(3000)]
+    df = spark.createDataFrame(rows, "v double, id long").repartition(3)
+    ordered = sorted(rows)
+    wanted = [1, 2, 700, 1500, 1501, 2999, 3000, 3001, 0]
+    found = sampling.nth_keys(df, ["v", "id"], wanted, sort_rows=20, histogram=16)
+    assert found == [ordered[n - 1] if 1 <= n <= 3000 else None for n in wanted]
+    assert sampling.nth_keys(df, ["v", "id"], wanted) == found
