@@ -21,6 +21,7 @@ MULTIPLIERS = (9973, 613, 1)
 WEIGHT_SCALE = 1 << 16
 # Trigrams are not independent: a longer text, read in full, counts as this many.
 EVIDENCE = 200
+#: Languages whose counts one task holds at once before it hands them on (a memory bound only).
 MAX_LANGUAGES = 256
 CHUNK = 1 << 20
 
@@ -100,18 +101,18 @@ class LanguageModel:
 
     @classmethod
     def load(cls, weights: DataFrame) -> "LanguageModel":
-        rows = weights.limit(MAX_LANGUAGES * (BUCKETS + 1) + 1).toPandas()
-        languages = sorted(rows["lang"].unique())
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        column = {name: i for i, name in enumerate(languages)}
-        table = np.zeros((BUCKETS, len(languages)), dtype=np.int32)
-        unseen = rows[rows["bucket"] == -1]
-        for name, weight in zip(unseen["lang"], unseen["weight"]):
-            table[:, column[name]] = weight
-        seen = rows[rows["bucket"] >= 0]
-        table[seen["bucket"], seen["lang"].map(column)] = seen["weight"]
-        return cls(languages, table)
+        """The dense table, packed per language by executors: one row of BUCKETS weights each.
+
+        The driver receives one packed row per language (4 bytes a bucket), never the
+        weight rows themselves; any number of languages is taken.
+        """
+        packed = weights.groupBy("lang").applyInPandas(_pack_language, "lang string, table binary")
+        rows = sorted(packed.collect(), key=lambda r: r["lang"])
+        languages = [r["lang"] for r in rows]
+        if not rows:
+            return cls([], np.zeros((BUCKETS, 0), dtype=np.int32))
+        table = np.stack([np.frombuffer(r["table"], dtype=np.int32) for r in rows], axis=1)
+        return cls(languages, np.ascontiguousarray(table))
 
     def score_texts(self, texts: pd.Series) -> pd.DataFrame:
         """Most likely language and its posterior for texts already normalised."""
@@ -171,3 +172,12 @@ def _trigram_totals(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
         else:
             totals += np.bincount(bucket, minlength=BUCKETS) @ table
     return totals, n
+
+
+def _pack_language(rows: pd.DataFrame) -> pd.DataFrame:
+    """One language's weights as BUCKETS int32 values: unseen buckets take the bucket -1 weight."""
+    unseen = rows.loc[rows["bucket"] == -1, "weight"]
+    table = np.full(BUCKETS, int(unseen.iloc[0]) if len(unseen) else 0, dtype=np.int32)
+    seen = rows[rows["bucket"] >= 0]
+    table[seen["bucket"].to_numpy()] = seen["weight"].to_numpy()
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "table": [table.tobytes()]})

@@ -202,3 +202,16 @@ def test_labelling_in_chunks(spark, tmp_path):
 def test_mean_of_logs_round_trip(spark):
     df = spark.createDataFrame([("train", 2, 99)], "split string, expected_experience_years long, expected_salary long")
     assert normalize.log_targets(df).first()["expected_salary"] == pytest.approx(math.log1p(99))
+
+
+def test_model_is_packed_by_language(spark):
+    weights = spark.createDataFrame(
+        [("en", -1, -7), ("en", 3, 5), ("fr", -1, -9), ("fr", 0, 2), ("fr", 3, 1), ("xx", 7, 4)],
+        "lang string, bucket int, weight bigint")
+    model = language.LanguageModel.load(weights)
+    assert model.languages == ["en", "fr", "xx"]
+    expected = np.zeros((language.BUCKETS, 3), dtype=np.int32)
+    expected[:, 0], expected[:, 1] = -7, -9
+    expected[3, 0], expected[0, 1], expected[3, 1], expected[7, 2] = 5, 2, 1, 4
+    assert (model.table == expected).all()
+    assert language.LanguageModel.load(weights.limit(0)).languages == []
