@@ -209,26 +209,23 @@ def hash_draw(*key: str, seed: int) -> Column:
 def seeded_shuffle(df: DataFrame, order: list[str]) -> DataFrame:
     """SP1: every row with its 0-based `position` in the shuffled order.
 
-    Rows are numbered inside value ranges of the first order column, each
-    starting where the ranges before it end, so no task sorts the whole table. That
-    column must be a hash such as `order_hash`, which fills the ranges evenly.
+    Rows are range-partitioned on the whole order key, by borders Spark samples from it, so
+    any order columns work and one value of the first column may span several tasks;
+    about POSITION_ROWS rows go to a task. Each task sorts and numbers its own rows, and the
+    counts of the tasks before it (one row a task, broadcast) give its offset.
     """
-    value = F.col(order[0])
-    size, low, high = df.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
-    slots = min(max(size // POSITION_ROWS, 1), MAX_POSITION_BUCKETS)
-    width = max(float((high or 0) - (low or 0)), 1.0) / slots
-    slotted = df.withColumn(
-        "slot", F.floor((value - F.lit(low)).cast("double") / F.lit(width))
-    )
-    before = W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    starts = slotted.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).select(
-        "slot", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")
-    )
-    inside = F.row_number().over(W.partitionBy("slot").orderBy(*order))
-    # At most MAX_POSITION_BUCKETS + 1 rows of two numbers.
+    size = df.count()
+    parts = min(max(size // POSITION_ROWS, 1), MAX_POSITION_BUCKETS)
+    numbered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
+        "_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        slotted.withColumn("inside", inside)
-        .join(F.broadcast(starts), "slot")
-        .withColumn("position", F.col("start") + F.col("inside") - 1)
-        .drop("slot", "start", "inside")
+        numbered.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .withColumn("position", F.col("_start") + local)
+        .drop("_part", "_start", "_id")
     )

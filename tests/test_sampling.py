@@ -148,3 +148,14 @@ def test_several_cuts_in_one_walk(spark, seed):
     found = sampling.nth_keys(df, ["v", "id"], wanted, sort_rows=20, histogram=16)
     assert found == [ordered[n - 1] if 1 <= n <= 3000 else None for n in wanted]
     assert sampling.nth_keys(df, ["v", "id"], wanted) == found
+
+
+def test_shuffle_positions_with_a_skewed_key(spark, monkeypatch):
+    """A third of the rows share one value of the first column; any order columns work."""
+    monkeypatch.setattr(sampling, "POSITION_ROWS", 100)
+    rows = [(0 if n % 3 == 0 else n * 7 % 1000, n) for n in range(3000)]
+    df = spark.createDataFrame(rows, "v long, id long").repartition(5)
+    found = {r["id"]: r["position"] for r in sampling.seeded_shuffle(df, ["v", "id"]).collect()}
+    assert found == {n: p for p, (_, n) in enumerate(sorted(rows))}
+    sizes = sampling.seeded_shuffle(df, ["v", "id"]).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 1000
