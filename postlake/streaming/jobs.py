@@ -49,16 +49,18 @@ def stream_fill_labels(
     again, so a restart neither loses nor repeats rows. Its replies are written down
     first, under `_replies`; a batch that is run again reads them in place of calling.
     Calls go through one ledger of paid replies, `_ledger`, so a batch that failed while
-    asking asks only what it had not been answered yet.
+    asking asks only what it had not been answered yet. Replies count as stored only
+    beside a marker with their number of rows, written after them.
     """
     def label_chunk(chunk: DataFrame, batch_id: int) -> None:
-        path = f"{out}/_replies/{batch_id}"
-        try:
-            replies = chunk.sparkSession.read.parquet(path)
-        except AnalysisException:  # not there, or without a finished file
+        path, marker = f"{out}/_replies/{batch_id}", f"{out}/_replies/{batch_id}.done"
+        replies = _complete_replies(chunk.sparkSession, path, marker)
+        if replies is None:  # never written, or not to its end: asked again, the ledger pays nothing twice
             draw = labels.model_draw(key, seed=seed)
             replies = labels.ask(chunk, key, draw, make_responder, wait_seconds=wait_seconds, path=path,
                                  ledger=f"{out}/_ledger")
+            chunk.sparkSession.createDataFrame([(replies.count(),)], "rows long").coalesce(1).write \
+                .mode("overwrite").json(marker)
         kept = labels.drop_failed(labels.with_stored_replies(chunk, key, replies)).select(*chunk.columns)
         kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
@@ -68,6 +70,16 @@ def stream_fill_labels(
     )
 
 
+def _complete_replies(spark: SparkSession, path: str, marker: str) -> DataFrame | None:
+    """The stored replies of a batch if their marker is there and counts as many rows."""
+    try:
+        expected = spark.read.schema("rows long").json(marker).first()
+        replies = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return replies if expected is not None and replies.count() == expected["rows"] else None
+
+
 def stream_funnel(
     postings: DataFrame, english: English, out: str, checkpoint: str
 ) -> StreamingQuery:

@@ -215,3 +215,33 @@ def test_model_is_packed_by_language(spark):
     expected[3, 0], expected[0, 1], expected[3, 1], expected[7, 2] = 5, 2, 1, 4
     assert (model.table == expected).all()
     assert language.LanguageModel.load(weights.limit(0)).languages == []
+
+
+def test_unfinished_replies_are_asked_again_without_paying_twice(spark, tmp_path):
+    import pathlib
+    import shutil
+    import uuid
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting():
+        def respond(batch):
+            for row_text in batch["prompt"]:
+                (calls / f"{row_text}-{uuid.uuid4().hex}").touch()
+            return [('{"years": 2, "expected_salary": 3}', None)] * len(batch)
+        return respond
+
+    folder, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    schema = "row_id long, text string, expected_salary long, expected_experience_years long"
+    spark.createDataFrame([(n, f"t{n}", -1, -1) for n in range(4)], schema).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    jobs.stream_fill_labels(stream, "row_id", counting, out, str(tmp_path / "cp"), wait_seconds=0).awaitTermination()
+    assert len(list(calls.iterdir())) == 4
+    # The batch's marker and output are lost, as if the driver died after the replies: the batch runs again.
+    shutil.rmtree(pathlib.Path(out) / "_replies" / "0.done")
+    shutil.rmtree(pathlib.Path(out) / "batch=0")
+    stream = spark.readStream.schema(schema).parquet(folder)
+    jobs.stream_fill_labels(stream, "row_id", counting, out, str(tmp_path / "cp2"), wait_seconds=0).awaitTermination()
+    assert sorted(r["row_id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    assert len(list(calls.iterdir())) == 4
