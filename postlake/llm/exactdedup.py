@@ -70,7 +70,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", hot_rows: int = HOT_RO
     merged = merged_filter(prints.select("fp"))
     repeated = merged.where(F.col("count") > 1).select(
         F.shiftleft("quotient", 64 - QUOTIENT_BITS).bitwiseOR(F.col("remainder")).alias("fp"))
-    members = _membership(repeated, member_bits)
+    # Both are read twice below; written once, neither the filters nor the byte groups run again.
+    members = cut_lineage(_membership(repeated, member_bits), "exact-members")
 
     # Rows whose fingerprint is surely single are their own group.
     marked = _marked(prints, members, member_bits)
@@ -87,6 +88,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", hot_rows: int = HOT_RO
         F.count(F.lit(1)).alias("group_size"),
         F.max_by("doc_id", F.struct("n_points", (-F.col("doc_id")))).alias("keep_id"),
     ).select("fp", F.sha2("norm", 256).alias("text_sha256"), "group_size", "keep_id")
+    groups = cut_lineage(groups, "exact-groups")
 
     rows = marked.where("candidate").select("doc_id", "fp", "text_sha256")
     hot = groups.where(F.col("group_size") > hot_rows)
