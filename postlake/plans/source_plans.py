@@ -101,6 +101,16 @@ def sc6(spark, sf_dir):
         i.view(spark, sf_dir, i.SCORED), quality.has_both_labels(years, salary))
 
 
+@query("sc7_head", i.with_views("SELECT * FROM scored ORDER BY row_id LIMIT 5", scored=i.SCORED))
+def sc7_head(spark, sf_dir):
+    return profile.head(i.view(spark, sf_dir, i.SCORED), ["row_id"], 5)
+
+
+@query("sc7_columns_and_types")
+def sc7_columns(spark, sf_dir):
+    return profile.column_profile(i.view(spark, sf_dir, i.SCORED))
+
+
 @query("sc7_profile", i.with_views(
     described_sql("scored", [(t, t) for t in TARGETS]), scored=i.SCORED))
 def sc7(spark, sf_dir):

@@ -23,6 +23,21 @@ def columns_and_types(df: DataFrame) -> list[tuple[str, str]]:
     return df.dtypes
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """SC7: position, name, type and count of non-NULL values of every column, in one pass."""
+    counts = df.agg(*[F.count(F.col(f"`{name}`")).alias(f"c{k}") for k, (name, _) in enumerate(df.dtypes)]).first()
+    rows = [F.struct(F.lit(k + 1).alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"),
+                     F.lit(counts[f"c{k}"]).cast("bigint").alias("non_null"))
+            for k, (name, kind) in enumerate(columns_and_types(df))]
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows))) if rows else df.sparkSession.createDataFrame(
+        [], "position int, name string, type string, non_null bigint")
+
+
+def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """SC7: the first n rows by `order`, a top-k that no task sorts the table for."""
+    return df.orderBy(*order).limit(n)
+
+
 def describe(df: DataFrame, columns: list[str] = TARGETS) -> DataFrame:
     """SC7: count, mean, std, min, quartiles and max per column, to 3 places.
 

@@ -159,3 +159,10 @@ def test_shuffle_positions_with_a_skewed_key(spark, monkeypatch):
     assert found == {n: p for p, (_, n) in enumerate(sorted(rows))}
     sizes = sampling.seeded_shuffle(df, ["v", "id"]).groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < 1000
+
+
+def test_column_profile_and_head(spark):
+    df = spark.createDataFrame([(3, "a", None), (1, None, 2.5), (2, "c", 1.0)], "id long, name string, v double")
+    found = [tuple(r) for r in profile.column_profile(df).collect()]
+    assert found == [(1, "id", "bigint", 3), (2, "name", "string", 2), (3, "v", "double", 2)]
+    assert [r["id"] for r in profile.head(df, ["id"], 2).collect()] == [1, 2]
