@@ -81,3 +81,49 @@ def test_query_against_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
     want = sorted(tuple(r) for r in con.execute(ORACLES["op12_hard_negative_mining"]).fetchall())
     assert got == want and len(got) > 0
+
+
+def by_row(rows):
+    """The contract row by row, in Python integers: rows that repeat a vec_id stay apart."""
+    table = [(i, [math.floor(256 * c) for c in v], (l + 1) % 10 if i % 7 == 0 else l) for i, v, l in rows]
+    out = []
+    for k, (a, ax, al) in enumerate(table):
+        if a % 100:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(ax, x)), i, n, lab) for n, (i, x, lab) in enumerate(table)
+                        if len(x) == len(ax))
+        positives = [(-s, i) for s, i, n, lab in scored if lab == al and n != k][:5]
+        for ps, pid in positives:
+            negatives = [(-s, i) for s, i, n, lab in scored if lab != al and 80 * ps <= -100 * s <= 100 * ps][:5]
+            out += [(a, pid, r + 1, nid, ps, ns) for r, (ns, nid) in enumerate(negatives)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["repeated ids", "large values", "huge outliers", "lengths"])
+def test_odd_rows(spark, kind):
+    rows = _table(2, 400)
+    if kind == "repeated ids":
+        rows += [(i % 150, v, l) for i, v, l in _table(3, 300)] + rows[:101:50]
+    elif kind == "large values":  # scores fit a long, a hundred times them does not
+        rows = [(i, [4e6 * c for c in v], l) for i, v, l in rows]
+    elif kind == "huge outliers":  # beyond every window, but their blocks and longs must hold
+        rows += [(401, [-1e30] * 6, 8), (402, [-3e19, 0.0, 0.0, 0.0, 0.0, 0.0], 6), (403, [1e17, 1e17] + [-1e17] * 4, 5)]
+    else:
+        rows += [(1000 + i, v, l) for i, v, l in _table(4, 300, dim=4)]
+        rows += [(2000 + i, v[:1], l) for i, v, l in _table(5, 20)]
+    want = by_row(rows)
+    assert _rows(hard_negatives(spark.createDataFrame(rows, SCHEMA))) == want and len(want) > 20
+
+
+def test_tasks_in_many_partitions(spark, monkeypatch):
+    """Anchors and rows of a task meet wherever its key is hashed to, not only in one coalesced partition."""
+    monkeypatch.setattr(hardnegatives, "ANCHORS_PER_TASK", 3)
+    monkeypatch.setattr(hardnegatives, "BLOCKS_PER_TASK", 2)
+    rows = _table(6, 900)
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        got = _rows(hard_negatives(spark.createDataFrame(rows, SCHEMA)))
+    finally:
+        spark.conf.unset(conf)
+    assert got == by_row(rows) and len(got) > 50
