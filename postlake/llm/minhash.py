@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.llm.graph import components
 from postlake.llm.ids import within
@@ -217,9 +217,15 @@ def _across(docs: DataFrame, open_: DataFrame, percent: int, shingle: int) -> Da
     Let D(x) be the shingles in which x and the family's first member p differ. Two sets
     x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and similarity t allows
     (1 - t) / (1 + t) (|x| + |y|) of them. So x and y must share a certain number of
-    differences from p, one at least as not both are linked with p. The join on shared
-    differences therefore misses no link, and copies that each have edits of their own
-    do not meet, however many there are.
+    differences from p, one at least as not both are linked with p.
+
+    Whoever y is, x shares at least |D(x)| - (1 - t) / t |x| of its differences with it, as y
+    has no more than |x| / t shingles and c common differences need |D(y)| >= c. Members
+    that share fewer with all others are dropped. Differences are taken in one order, the
+    rare ones first; a pair that must share k of them meets at the first common one, where
+    each side has k left. So the join keeps pairs only at rare differences: it misses no
+    link, and neither copies with edits of their own nor the many that all differ from
+    p in the same way meet pair by pair.
     """
     ids = open_.select(F.col("rep").alias("doc_id"))
     texts = cut_lineage(docs.join(within(ids), "doc_id", "left_semi"), "texts")
@@ -244,27 +250,39 @@ def _across(docs: DataFrame, open_: DataFrame, percent: int, shingle: int) -> Da
     rows = map_texts(both, differ, "rep long, family long, size long, away long, element long")
     rows = cut_lineage(rows.join(within(open_.select("rep", "component")), "rep"), "differences")
     place = ["family", "element"]
-    common = rows.groupBy(*place).agg(
-        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("members > 1")
-    rows = cut_lineage(rows.join(common, place), "shared")
-    shared = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    rows = rows.where("low < high").join(within(cut_lineage(shared, "counts")), "rep")
+    # A hundredth is taken off so that rounding cannot lose a pair.
+    least = F.greatest(F.lit(1.0), F.ceil(F.col("away") - F.col("size") * (100 - percent) / percent - 0.01))
+    for name in ("shared", "partners"):  # the second time without the members dropped by the first
+        rows = _met(rows, place).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("rep")))
+        rows = cut_lineage(rows.where(F.col("shared") >= least), name)
+    sets = cut_lineage(rows.groupBy("rep").agg(F.collect_list("element").alias("elements")), "sets")
+    rare = Window.partitionBy("rep").orderBy("members", "element")
+    rows = rows.withColumn("left", F.col("shared") - F.row_number().over(rare) + 1)
+    rows = cut_lineage(_met(cut_lineage(rows.where(F.col("left") >= least), "rare"), place), "meeting")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     end = lambda e, own, other: rows.select(
         *place, F.col(own).alias("i"), F.col(other).alias("j"), F.col("rep").alias(e), F.col("component").alias(f"c{e}"),
-        F.col("size").alias(f"n{e}"), F.col("away").alias(f"d{e}"), F.col("shared").alias(f"s{e}"), F.col("low").alias(f"l{e}"))
+        F.col("size").alias(f"n{e}"), F.col("away").alias(f"d{e}"), F.col("left").alias(f"s{e}"), F.col("low").alias(f"l{e}"))
     # One end of a pair is outside the element's least component.
     a, b = end("a", "block", "other").where("ca <> la"), end("b", "other", "block")
-    # A hundredth is taken off so that rounding cannot lose a pair.
     need = F.greatest(F.lit(1.0), F.ceil((
         F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)) / 2 - 0.01))
     possible = (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= need) & (
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = a.join(b, [*place, "i", "j"]).where(possible).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *place, need.alias("need")).distinct()
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((F.col("cb") == F.col("lb")) | (F.col("a") < F.col("b")))
+    met = cut_lineage(a.join(b, [*place, "i", "j"]).where(possible).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need")).distinct(), "met")
+    side = lambda e: sets.select(F.col("rep").alias(e), F.col("elements").alias(f"e{e}"))
+    return met.join(side("a"), "a").join(side("b"), "b").where(
+        F.size(F.array_intersect("ea", "eb")) >= F.col("need")).select("a", "b")
+
+
+def _met(rows: DataFrame, place: list[str]) -> DataFrame:
+    """`rows` at places where several components meet, with their members and least component there."""
+    common = rows.groupBy(*place).agg(
+        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return rows.drop("members", "low").join(common.drop("high"), place)
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:

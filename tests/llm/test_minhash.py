@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from postlake.llm import minhash
 from postlake.llm.graph import components
 from postlake.llm.minhash import near_duplicates, without_near_duplicates
 from tests.llm import brute
@@ -80,3 +81,22 @@ def test_components_of_long_chains_and_stars(spark):
     found = {r["node"]: r["component"] for r in components(df).collect()}
     assert found == {n: 100 for n in range(100, 141)} | {n: 7 for n in range(7, 40)}
     assert components(df.limit(0)).collect() == []
+
+
+def test_copies_far_from_the_first_in_the_same_way(make_docs, monkeypatch):
+    # All lack the first 30 words of document 0 and have four of forty edits: pairs share most
+    # differences from it, too few for a link.
+    draw = random.Random(5)
+    base = [f"w{n}" for n in range(120)]
+    texts = [" ".join([f"x{n}" for n in range(30)] + base[30:])]
+    for _ in range(160):
+        words = list(base)
+        for place in draw.sample(range(34, 118, 4), 4):
+            words[place] = f"e{place}v{draw.randrange(2)}"
+        texts.append(" ".join(words))
+    stored = {}
+    write = minhash.cut_lineage
+    monkeypatch.setattr(minhash, "cut_lineage", lambda df, name: stored.setdefault(name, []).append(write(df, name)) or stored[name][-1])
+    _check(_found(near_duplicates(make_docs(texts))), list(enumerate(texts)))
+    assert stored["unresolved"][0].count() > 100
+    assert stored["met"][0].count() < 160 * 159 / 2 / 4
