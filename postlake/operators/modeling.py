@@ -85,16 +85,19 @@ class TextRegressor:
     ) -> "TextRegressor":
         """ML1-ML3 on complete examples with a `split` column.
 
-        Features and normalised targets are written once and read by every
-        candidate; text processing is not repeated per candidate.
+        Term counts and normalised targets are written once; document frequencies are
+        fitted on them and features are their product with the weights, so texts are cut
+        into words once, and every candidate reads the written counts.
         """
         logged = log_targets(examples)
         stats = cut_lineage(fit_norm_stats(logged), "stats")
-        featurizer = featurize_text(features).fit(examples.filter("split = 'train'"))
-        ready = cut_lineage(
-            featurizer.transform(apply_zscore(logged, stats)).select("split", "features", YEARS, SALARY),
-            "features",
+        *counting, weighting = featurize_text(features).getStages()
+        counted = cut_lineage(
+            PipelineModel(counting).transform(apply_zscore(logged, stats)).select("split", "counts", YEARS, SALARY),
+            "counts",
         )
+        featurizer = PipelineModel([*counting, weighting.fit(counted.filter("split = 'train'"))])
+        ready = featurizer.stages[-1].transform(counted).select("split", "features", YEARS, SALARY)
         train, validation = ready.filter("split = 'train'"), ready.filter("split = 'val'")
         candidates = {r: fit_two_target(train, r) for r in reg_params}
         losses = candidate_losses(candidates, validation)

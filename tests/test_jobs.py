@@ -245,3 +245,20 @@ def test_unfinished_replies_are_asked_again_without_paying_twice(spark, tmp_path
     jobs.stream_fill_labels(stream, "row_id", counting, out, str(tmp_path / "cp2"), wait_seconds=0).awaitTermination()
     assert sorted(r["row_id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
     assert len(list(calls.iterdir())) == 4
+
+
+def test_fit_cuts_texts_into_words_once(spark, monkeypatch):
+    """Document frequencies and features come from the written counts, with the pipeline's own weights."""
+    from postlake.operators import modeling
+
+    rows = spark.createDataFrame(
+        [(n, f"w{n % 7} w{n % 3} common {'x ' * (n % 5)}", "val" if n % 5 == 4 else "train", n % 9, 50000 + 100 * (n % 11))
+         for n in range(60)],
+        "row_id long, text string, split string, expected_experience_years long, expected_salary long")
+    stored, write = {}, modeling.cut_lineage
+    monkeypatch.setattr(modeling, "cut_lineage", lambda df, name: stored.setdefault(name, write(df, name)))
+    model = modeling.TextRegressor.fit(rows, features=64, reg_params=(0.5,))
+    plain = modeling.featurize_text(64).fit(rows.filter("split = 'train'"))
+    assert set(stored) == {"stats", "counts"} and stored["counts"].count() == 60
+    assert list(model.features.stages[-1].idf) == list(plain.stages[-1].idf)
+    assert model.features.transform(rows).select("features").collect() == plain.transform(rows).select("features").collect()
